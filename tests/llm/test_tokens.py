@@ -60,7 +60,8 @@ def test_files(spark, odd_docs):
 def test_pack(spark, odd_docs, parts):
     path = tokenizer("word_bpe_49k.json")
     docs = odd_docs.dropDuplicates(["doc_id"]).repartition(parts)
-    want = {r.doc_id: x for r, x in zip(rows := docs.collect(), library(path, [r.text for r in rows], 2), strict=True)}
+    rows = docs.collect()
+    want = {r.doc_id: x for r, x in zip(rows, library(path, [r.text for r in rows], 2), strict=True)}
     got = pack(docs, path, with_ids=True).collect()
     for doc, ids in want.items():
         pieces = sorted((p for p in got if p.doc_id == doc), key=lambda p: p.start)
