@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docengine.llm.common import table
+from docengine.llm.common import bucket_of, table
 from docengine.llm.licenses import oracle as licenses_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,16 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docengine.llm.quality import score_quality, train_additive
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_additive(docs.where(bucket_of(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.packing import pack
@@ -45,6 +56,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docengine.llm.quality import apply_rules, train_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, train_rules(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.rans import read_files, write_files
