@@ -69,3 +69,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.rans import read_files, write_files
 
     return read_files(write_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docengine.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    return predict(docs, train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
