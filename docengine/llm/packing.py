@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import slices, text_of
-from docengine.llm.tokens import Encoder, with_end
+from docengine.llm.tokens import encoder, with_end
 
 CAPACITY = 4096
 #: Lengths of capacity / (CLASSES + 1) or less fill the room that the classes leave.
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer, "word"), Packer()
+        encode_texts, packer = encoder(tokenizer, "word").encode, Packer()
         number = TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False)
             return pa.RecordBatch.from_pydict(arrays | ({"ids": pa.array(columns[7], pa.binary())} if with_ids else {}))
 
         for batch in slices(batches):
-            ids, offsets = with_end(*encoder.encode(text_of(batch)), end)
+            ids, offsets = with_end(*encode_texts(text_of(batch)), end)
             ids = ids.astype("<u4")
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 packer.add(doc, ids[a:b].copy())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.common import slices, text_of, written
-from docengine.llm.tokens import Encoder, with_end
+from docengine.llm.tokens import encoder, with_end
 
 MAGIC = b"RNS1"
 BITS = 20
@@ -56,9 +56,11 @@ def _lanes(n: int) -> int:
 
 
 def encode_block(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray) -> bytes:
+    rank = np.zeros(int(symbols[-1]) + 1, np.uint32)
+    rank[symbols] = np.arange(len(symbols))
     n, lanes = len(ids), _lanes(len(ids))
     low = np.concatenate([[0], np.cumsum(freq, dtype=np.uint64)])[:-1].astype(np.uint64)
-    code = np.searchsorted(symbols, ids)
+    code = rank[ids]
     f_all, c_all = freq.astype(np.uint64)[code], low[code]
     x = np.full(lanes, LOW, np.uint64)
     steps = -(-n // lanes)
@@ -174,7 +176,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, "byte")
+        encode_texts = encoder(tokenizer, "byte").encode
         shard = TaskContext.get().partitionId()
         file, first, held, doc_ids, sizes, parts = 0, 0, 0, [], [], []
 
@@ -183,7 +185,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": pa.array([file], pa.int32()), "first": [first], "n_ids": [held], "data": pa.array([data], pa.binary())})
 
         for batch in slices(batches):
-            ids, offsets = with_end(*encoder.encode(text_of(batch)), end)
+            ids, offsets = with_end(*encode_texts(text_of(batch)), end)
             doc_ids += batch.column("doc_id").to_pylist()
             sizes.append(np.diff(offsets))
             parts.append(ids.astype("<u4"))

@@ -9,6 +9,10 @@ space go to the library whole. The result equals the library's ids of the whole
 from __future__ import annotations
 
 import os
+import re
+import struct
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,17 @@ UNUSUAL = (
 #: A stop or comma between a letter and white space is a piece of its own, so it may be a unit of its own.
 STOP = "([A-Za-z])([.,])([ \\n]|$)"
 UNITS_A_CALL = 2048
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as U+0100 and up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
 
 
 class Encoder:
@@ -41,7 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mode, self.known = mode, known
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b"", "\0": b""} if mode == "byte" else {"": b""}
         self.mark = "\n" if mode == "byte" else "~"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
 
@@ -63,29 +78,43 @@ class Encoder:
             out += [data[a:b] for a, b in zip((starts * 4 + 4).tolist(), ends, strict=True)]
         return out
 
+    def _words(self, units: list[str]) -> dict[str, bytes]:
+        """Units that are one piece of Latin letters go straight to the library's merges, in its byte alphabet."""
+        merge, out = self.tokenizer.model.tokenize, {}
+        byte, pack = self.mode == "byte", struct.Struct
+        found = list(filter(WORD, units)) if byte else [u for u in units if WORD(u) and (u.isascii() or (u == u.lower() and unicodedata.is_normalized("NFC", u)))]
+        for u in found:
+            mapped = u if u.isascii() else u.encode().decode("latin-1").translate(BYTE_ALPHABET)
+            ids = [t.id for t in merge("\u0120" + mapped if byte else mapped)]
+            out[u] = pack(f"<{len(ids)}I").pack(*ids)
+        return out
+
     def _units(self, units: list[str]) -> list[bytes]:
+        found = self._words(units)
+        rest = [u for u in units if u not in found] if len(found) < len(units) else []
         if self.mode == "word":
-            odd = [u for u in units if self.mark in u]
-            even = [u for u in units if self.mark not in u]
-            found = dict(zip(odd, self.whole(odd), strict=True)) | dict(zip(even, self._joined(even, f" {self.mark} "), strict=True))
+            odd = [u for u in rest if self.mark in u]
+            even = [u for u in rest if self.mark not in u]
+            found |= dict(zip(odd, self.whole(odd), strict=True)) | dict(zip(even, self._joined(even, f" {self.mark} "), strict=True))
         else:
-            line = [u for u in units if u[0] in "\0\n"]
-            blank = [u for u in units if u[0] not in "\0\n"]
-            found = dict(zip(blank, self._joined(blank, "\n "), strict=True))
+            line = [u for u in rest if u[0] in "\0\n"]
+            blank = [u for u in rest if u[0] not in "\0\n"]
+            found |= dict(zip(blank, self._joined(blank, "\n "), strict=True))
             end = np.array([self.mark_id], "<u4").tobytes()
             found |= {u: e if u[0] == "\0" else end + e for u, e in zip(line, self._joined([u[1:] for u in line], "\n") if line else [], strict=True)}
         return [found[u] for u in units]
 
     def _lookup(self, units: list[str]) -> list[bytes]:
-        cache = self.cache
-        new = [u for u in units if u not in cache]
-        room = self.known - len(cache)
-        if not new:
-            return [cache[u] for u in units]
-        fresh = dict(zip(new, self._units(new), strict=True))
-        out = [cache[u] if u in cache else fresh[u] for u in units]
-        if room > 0:
-            cache.update(list(fresh.items())[:room])
+        out = list(map(self.cache.get, units))
+        new = [i for i, x in enumerate(out) if x is None]
+        if new:
+            names = [units[i] for i in new]
+            fresh = self._units(names)
+            for i, x in zip(new, fresh, strict=True):
+                out[i] = x
+            room = self.known - len(self.cache)
+            if room > 0:
+                self.cache.update(zip(names[:room], fresh[:room], strict=True))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +132,8 @@ class Encoder:
         bounds = bounds - bounds[0]
         coded = lists.flatten().dictionary_encode()
         code = coded.indices.to_numpy()
-        names = coded.dictionary.to_pylist()
-        empty = {"", "\0"} if self.mode == "byte" else {""}
-        parts = dict(zip(real := [u for u in names if u not in empty], self._lookup(real), strict=True))
-        pieces = [parts.get(u, b"") for u in names]
-        size = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
+        pieces = self._lookup(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
         table = np.frombuffer(b"".join(pieces), "<u4")
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
         ids, ends = ragged(table, first, size, code)
@@ -120,6 +146,12 @@ class Encoder:
         return ids, offsets
 
 
+@cache
+def encoder(path: str, mode: str) -> Encoder:
+    """One for each worker process, so that later tasks find known units."""
+    return Encoder(path, mode)
+
+
 def ragged(table: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """table[first[c] : first[c] + size[c]] for each c of code, joined; and the end of each."""
     count = size[code]

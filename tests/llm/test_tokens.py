@@ -1,12 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
 from docengine.llm import rans  # noqa: E402
 from docengine.llm.packing import CAPACITY, Packer, pack  # noqa: E402
 from docengine.llm.queries import tokenizer  # noqa: E402
+from docengine.llm.tokens import Encoder  # noqa: E402
 
 
 def library(path, texts, end):
@@ -83,3 +85,20 @@ def test_classes_hold_their_count():
     assert all(len({p[0] for p in s}) == 3 for s in [g[1] for g in packer.gaps])
     packer.add(99, np.zeros(100, np.uint32))
     assert sum(g[0] for g in packer.gaps) == 4 * (CAPACITY - 3900) - 100
+
+
+ODD = [
+    "", "a", "A b", "  x", "x ", "a\n\nb", "the\tcat", "naïve café, İI ΑΣ ſ.", "a  b", "x~y ~ z", "it's don't", "\x00", "é é́", "a" * 5000, " ", "\n", "Ab.\nCd, ef", "日本 語",
+    "a\x1cb !\x1c c\x85 d", "   b", "end. ", "one,two, three.\nFour", "<|endoftext|> q", "ÀÉ ÿ ǅ ɏ", "tab\tx.\ty", "...", "x..\n", "Ⅷ ² ½ ١",
+]
+
+
+@pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_equal_whole_texts(name, mode):
+    rng = np.random.default_rng(3)
+    alphabet = list("ab ééÉ ., \n\n'’~x9 \t") + ["the ", "Ö", " ", "日"]
+    texts = ODD + ["".join(rng.choice(alphabet, n)) for n in rng.integers(1, 40, 3000)]
+    encoder = Encoder(tokenizer(name), mode, known=50)
+    ids, offsets = encoder.encode(pa.array(texts, pa.large_string()))
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [w.ids for w in want]
