@@ -63,6 +63,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docengine.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.quality import apply_rules, train_rules
