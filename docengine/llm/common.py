@@ -47,6 +47,11 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def held_out(doc_id: Column, n: int, fold: int) -> Column:
+    """Whether the id is in the held-out fold; false for a null id."""
+    return bucket_of(doc_id, n).eqNullSafe(F.lit(fold))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, limit: int) -> DataFrame:
     """At most `limit` labelled documents (text, label), chosen by a hash of the id.
 

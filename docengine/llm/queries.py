@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import bucket_of, table
+from docengine.llm.common import held_out, table
 from docengine.llm.licenses import oracle as licenses_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +44,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.quality import score_quality, train_additive
 
     docs = table(spark, sf_dir, "documents")
-    model = train_additive(docs.where(bucket_of(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"))
+    model = train_additive(docs.where(~held_out(F.col("doc_id"), 5, 0)), table(spark, sf_dir, "labels"))
     scored = score_quality(docs, model)
-    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 @query
@@ -63,6 +63,15 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docengine.llm.ppm import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    fold = held_out(F.col("doc_id"), 7, 2)
+    return score_texts(docs, ~fold).select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.neardup import near_duplicates
@@ -90,5 +99,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.langid import predict, train
 
     docs = table(spark, sf_dir, "documents")
-    held_out = bucket_of(F.col("doc_id"), 4) == 2
-    return predict(docs, train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    fold = held_out(F.col("doc_id"), 4, 2)
+    return predict(docs, train(docs.where(~fold))).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
