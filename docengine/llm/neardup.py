@@ -15,11 +15,11 @@ first split by the next sketches. That is repeated as long as it finds links.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -208,20 +208,42 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(several.select("key", "size"), "key"), "mixed")
 
 
-def _partners(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of each node of a small bucket with its PARTNERS likeliest nodes of other classes."""
+def _likeliest(nodes: np.ndarray, label: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs: each node of one bucket with its PARTNERS likeliest nodes of other classes."""
+    agree = np.zeros((len(nodes), len(nodes)), np.int32)
+    for k in range(keys.shape[1]):
+        agree += keys[:, k, None] == keys[None, :, k]
+    agree[label[:, None] == label[None, :]] = 0
+    best = np.argsort(-agree, axis=1, kind="stable")[:, :PARTNERS]
+    i = np.repeat(np.arange(len(nodes)), best.shape[1])
+    j = best.reshape(-1)
+    good = agree[i, j] >= AGREE
+    return i[good], j[good]
+
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        nodes, label = group["node"].to_numpy(), group["label"].to_numpy()
-        sketched, out = np.stack([np.asarray(k) for k in group["keys"]]), []
-        for i in range(len(nodes)):
-            agree = (sketched == sketched[i]).sum(1)
-            agree[label == label[i]] = 0
-            best = np.lexsort((nodes, -agree))[:PARTNERS]
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in best if agree[j] >= AGREE]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def _partners(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of the nodes of small buckets with their likeliest nodes of other classes in the bucket."""
 
-    return rows.select("key", "node", "label").join(keys, "node").groupBy("key").applyInPandas(run, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last bucket of a batch may go on in the next, up to INSIDE rows
+        for batch in itertools.chain(batches, [None]):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            key, nodes, label = (table.column(c).to_numpy() for c in ("key", "node", "label"))
+            sketched = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2
+            held = None if batch is None else table.slice(int(cuts[done]))
+            pairs = [np.zeros((2, 0), np.int64)]
+            for a, b in zip(cuts[:done].tolist(), cuts[1 : done + 1].tolist(), strict=True):
+                i, j = _likeliest(nodes[a:b], label[a:b], sketched[a:b])
+                pairs.append(np.stack([np.minimum(nodes[a + i], nodes[a + j]), np.maximum(nodes[a + i], nodes[a + j])]))
+            u, v = np.unique(np.concatenate(pairs, 1), axis=1)
+            yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+    rows = rows.select("key", "node", "label").join(keys.where(F.size("keys") == SKETCHES), "node").select("key", "node", "label", "keys")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +288,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges, labels, found = _more(_partners(tried, keys), edges, labels, bodies)
         if not found:
             break
-        mixed = _mixed(mixed.select("key", "last", "node"), labels)
+        # where no node's class has changed, the same nodes would be compared again
+        last, mixed = mixed.select("key", "node", F.col("label").alias("before")), _mixed(mixed.select("key", "last", "node"), labels)
+        changed = mixed.join(last, ["key", "node"]).where("label != before").select("key").distinct()
+        mixed = written(mixed.join(changed, "key", "left_semi"), "mixed")
     named = nodes.select("node", "doc_id", "n_copies").join(labels, "node", "left")
     return members.select("doc_id", "node"), written(named.withColumn("label", F.coalesce("label", "node")), "classes")
 
