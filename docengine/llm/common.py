@@ -68,8 +68,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, limit: int)
     return text.join(F.broadcast(ids), "doc_id").select("text", "label").limit(limit)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut at rows so that each piece holds about SLICE_BYTES of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut at rows so that each piece holds about `size` bytes of text, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -78,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < n:
             before = sizes[at - 1] if at else 0
-            end = max(at + 1, int(sizes.searchsorted(before + SLICE_BYTES, side="right")))
+            end = max(at + 1, int(sizes.searchsorted(before + size, side="right")))
             yield batch.slice(at, end - at)
             at = end
 

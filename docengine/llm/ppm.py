@@ -29,7 +29,9 @@ MOST_LEAVES = 4_000_000
 HEAD_BITS = 21
 TABLE_BITS = 21
 #: Counts of a worker's slices are summed before they are sent on, up to so many distinct ones.
-PENDING = 3_000_000
+PENDING = 1_000_000
+#: Bytes of text at a time: each takes a hundred bytes of arrays here.
+SLICE = 3 << 20
 GRAM, WORD, TEXTS = 0, 1, 2
 
 
@@ -45,25 +47,27 @@ def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(offsets)
     bounds = np.concatenate([[0], np.cumsum(length + 1)])
     ends = bounds[1:] - 1
-    wide = np.zeros(int(bounds[-1]), np.uint64)
-    inside = np.ones(len(wide), bool)
+    symbol = np.zeros(int(bounds[-1]), np.uint8)
+    inside = np.ones(len(symbol), bool)
     inside[ends] = False
-    wide[inside] = data[offsets[0] : offsets[-1]]
-    key = wide.copy()
+    symbol[inside] = data[offsets[0] : offsets[-1]]
+    key = symbol.astype(np.uint64)
     for k in range(1, order + 1):
-        before = np.zeros_like(wide)
-        before[k:] = wide[:-k] if k < len(wide) else 0
+        before = np.zeros_like(symbol)
+        before[k:] = symbol[:-k] if k < len(symbol) else 0
         for j in range(k):  # nothing reaches over the start of a text
             at = bounds[:-1] + j
             before[at[at < bounds[1:]]] = 0
-        key |= before << np.uint64(8 * k)
+        wide = before.astype(np.uint64)
+        wide <<= np.uint64(8 * k)
+        key |= wide
     return key, bounds
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs or the sum of its weights."""
+    """Distinct keys in order, and how often each occurs or the sum of its weights. Sorts keys without weights in place."""
     if weights is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
         keys, weights = keys[order], weights[order]
@@ -207,7 +211,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             parts = held[kind]
             return counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             texts = _lowered(batch)
             texts_seen += len(texts)
             held[GRAM].append(counted(grams(texts, order)[0]))
@@ -265,7 +269,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, head_keys, head_cost = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             texts = _lowered(batch)
             key, bounds = grams(texts, model.order)
             score = np.add.reduceat(model.score(key), bounds[:-1]) if len(key) else np.zeros(0)
@@ -281,7 +285,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, head_keys, _ = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             hashes, code, bounds = _words(_lowered(batch))
             rare = (_find(head_keys, hashes) < 0)[code]
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[rare]
