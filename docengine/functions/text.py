@@ -31,6 +31,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def nfkc_groups(s: pd.Series) -> pd.Series:
+    return s.map(lambda gs: [[None if x is None else unicodedata.normalize("NFKC", x) for x in g] for g in gs], na_action="ignore")
+
+
 def _sub(c: Column, *pairs: tuple[str, str]) -> Column:
     for pattern, to in pairs:
         c = F.regexp_replace(c, pattern, to)
@@ -139,11 +144,11 @@ def guarded_clean(c: Column) -> Column:
     """Page numbers, running titles, ornaments; HTML tables to lines; spacing of clause numbers."""
     c = F.coalesce(c, F.lit(""))
     c = _sub(
-        c, ("(?m)^\\s*-\\s*\\d+\\s*-\\s*$", ""), ("(?im)^\\s*\\[?\\s*Page\\s*\\d+\\s*\\]?\\s*$", ""), ("(?m)^\\s*\\d+\\s*/\\s*\\d+\\s*$", ""),
-        ("(?m)(제안요청서|과업지시서|시방서|사업계획서)\\s*$", ""), ("\\u00a0", " "), (CONTROL, ""), (ORNAMENTS, " "),
+        c, ("(?mU)^\\s*-\\s*\\d+\\s*-\\s*$", ""), ("(?imU)^\\s*\\[?\\s*Page\\s*\\d+\\s*\\]?\\s*$", ""), ("(?mU)^\\s*\\d+\\s*/\\s*\\d+\\s*$", ""),
+        ("(?mU)(제안요청서|과업지시서|시방서|사업계획서)\\s*$", ""), ("\\u00a0", " "), (CONTROL, ""), (ORNAMENTS, " "),
     )
     c = F.when(F.contains(c, F.lit("<table>")), _html_table_lines(c)).otherwise(c)
-    return strip(_sub(c, ("제\\s*(\\d+)\\s*조", "제$1조"), ("([①-⑮])\\s+", "$1 "), ("(\\d+)\\s*\\.", "$1."), (" {2,}", " "), ("\\n{3,}", "\n\n")))
+    return strip(_sub(c, ("(?U)제\\s*(\\d+)\\s*조", "제$1조"), ("(?U)([①-⑮])\\s+", "$1 "), ("(?U)(\\d+)\\s*\\.", "$1."), (" {2,}", " "), ("\\n{3,}", "\n\n")))
 
 
 def strip_reasoning(c: Column) -> Column:

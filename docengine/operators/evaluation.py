@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import metrics as M
+from docengine.functions import text as X
 
 #: Metrics by name: (retrieved, gold, k) -> column.
 METRICS: dict[str, Callable[[Column, Column, int], Column]] = {
@@ -54,14 +55,20 @@ def retrieval_failures(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.where(~F.coalesce(F.arrays_overlap(F.slice("retrieved", 1, k), F.col("gold")), F.lit(False)))
 
 
-def keyword_scores(rows: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
-    """Rows (answer, groups) with matched and missed keyword groups and their recall, 0 without groups."""
-    answer = normalize(F.col("answer"))
-    groups = F.coalesce("groups", F.expr("cast(array() as array<array<string>>)"))
-    is_hit = lambda g: F.exists(g, lambda k: (normalize(k) != "") & F.contains(answer, normalize(k)))
+def keyword_scores(rows: DataFrame, unicode: bool = True) -> DataFrame:
+    """Rows (answer, groups) with matched and missed keyword groups and their recall, 0 without groups.
+
+    Both sides are normalised for comparison; without unicode, for texts known to be in form KC.
+    """
+    empty = F.expr("cast(array() as array<array<string>>)")
+    rows = rows.withColumn("groups", F.coalesce("groups", empty)).withColumn("__a", X.normalize_for_eval(F.col("answer"), unicode))
+    rows = rows.withColumn("__g", X.nfkc_groups("groups") if unicode else F.col("groups"))
+    normal = lambda k: X.normalize_for_eval(k, unicode=False)
+    hit = F.transform("__g", lambda g: F.exists(g, lambda k: (normal(k) != "") & F.contains("__a", normal(k))))
+    pick = lambda want: F.filter("groups", lambda g, i: F.get("__h", i) == F.lit(want))
     n = F.size("groups")
-    out = rows.withColumn("groups", groups).withColumn("matched_groups", F.filter("groups", is_hit)).withColumn("missed_groups", F.filter("groups", lambda g: ~is_hit(g)))
-    out = out.withColumns({"n_matched": F.size("matched_groups"), "n_groups": n})
+    out = rows.withColumn("__h", hit).withColumns({"matched_groups": pick(True), "missed_groups": pick(False)})
+    out = out.withColumns({"n_matched": F.size("matched_groups"), "n_groups": n}).drop("__a", "__g", "__h")
     return out.withColumn("keyword_recall", F.when(n > 0, F.col("n_matched") / n).otherwise(0.0))
 
 

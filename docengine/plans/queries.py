@@ -432,7 +432,7 @@ _KEYWORDS = f"""SELECT qid, CAST(a + b AS INT) AS n_matched, (a + b) / 2 AS keyw
 
 
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.keyword_scores(answers(spark, sf_dir), lambda c: X.normalize_for_eval(c, unicode=False))
+    return evaluation.keyword_scores(answers(spark, sf_dir), unicode=False)
 
 
 @query(_KEYWORDS)
