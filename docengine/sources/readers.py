@@ -293,7 +293,7 @@ def html_text(html: str | None, skip: tuple[str, ...] = ()) -> str:
     parser.feed(html or "")
     parser.close()
     text = "".join(parser.out).replace("\t", " ")
-    text = re.sub(r"[ ]*\n[ ]*", "\n", re.sub(r" {2,}", " ", text))
+    text = "\n".join(line.strip() if line.startswith("| ") else re.sub(r" {2,}", " ", line).strip() for line in text.split("\n"))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
