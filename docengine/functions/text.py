@@ -245,3 +245,28 @@ def rows_to_markdown(rows: Column) -> Column:
     rule = line(F.array_repeat(F.lit("---"), wide))
     joined = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
     return F.when(F.size(kept) > 0, joined).otherwise("")
+
+
+# fixed values: Chinese characters of Korean documents and their Hangul spellings
+HANJA = {
+    "別紙": "별지", "別添": "별첨", "以上": "이상", "以下": "이하", "未滿": "미만", "第": "제", "條": "조", "項": "항", "號": "호", "章": "장", "節": "절", "內": "내", "外": "외", "年": "년", "月": "월", "日": "일",
+    "千": "천", "萬": "만", "億": "억", "一": "일", "二": "이", "三": "삼", "四": "사", "五": "오", "六": "육", "七": "칠", "八": "팔", "九": "구", "十": "십", "百": "백",
+}
+# fixed values: short names of models
+MODEL_NAMES = {"text-embedding-3-small": "emb3s", "text-embedding-3-large": "emb3l", "gpt-5-mini": "gpt5mini", "gpt-5-nano": "gpt5nano", "gpt-4o-mini": "gpt4omini", "gpt-4o": "gpt4o"}
+
+
+def spell_hanja(c: Column) -> Column:
+    """Longer words first, then single characters in one pass."""
+    for a in sorted((k for k in HANJA if len(k) > 1), key=len, reverse=True):
+        c = F.replace(c, F.lit(a), F.lit(HANJA[a]))
+    single = [k for k in HANJA if len(k) == 1]
+    return F.translate(c, "".join(single), "".join(HANJA[k] for k in single))
+
+
+def short_model_name(c: Column, longest: int = 24) -> Column:
+    """A known alias, else the last part of the name without its instruct suffix, as a slug."""
+    raw = F.trim(F.coalesce(c, F.lit("")))
+    alias = F.coalesce(*(F.when(F.lower(raw) == k, v) for k, v in MODEL_NAMES.items()))
+    last = _sub(F.regexp_extract(F.translate(raw, "\\", "/"), "[^/]*$", 0), ("[-_](?:Instruct|instruction)", ""))
+    return F.when(raw == "", "unknown").otherwise(F.coalesce(alias, safe_name(last, longest)))

@@ -106,3 +106,52 @@ def costs(rows: DataFrame, prices: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(prices), "model", "left")
     cost = M.llm_cost(F.col("tokens_in"), F.col("tokens_out"), F.coalesce("price_in", F.lit(0.0)), F.coalesce("price_out", F.lit(0.0)))
     return joined.withColumn("cost", cost).withColumn("total_tokens", F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0)))
+
+
+# ---- relevance by keywords, where no gold ids are known
+
+
+def is_relevant(text: Column, groups: Column) -> Column:
+    """Every group has a keyword in the text, both in simple form; no groups: true."""
+    low = X.normalize_simple(text)
+    return F.forall(groups, lambda g: F.exists(g, lambda k: F.contains(low, X.normalize_simple(k))))
+
+
+def keyword_retrieval(rows: DataFrame, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
+    """Rows (contexts, groups) with hit, mrr, top1 and first rank at each k of the contexts that are relevant."""
+    flags = F.transform(F.coalesce("contexts", F.expr("cast(array() as array<string>)")), lambda t: is_relevant(t, F.col("groups")))
+    out = rows.withColumn("__f", flags)
+    place = lambda k: F.array_position(F.slice("__f", 1, k), True)
+    columns: dict[str, Column] = {}
+    for k in ks:
+        at = F.when(place(k) > 0, place(k))
+        columns |= {f"hit_{k}": at.isNotNull().cast("double"), f"mrr_{k}": F.coalesce(1.0 / at, F.lit(0.0)), f"top1_{k}": F.coalesce((at == 1).cast("double"), F.lit(0.0)), f"first_{k}": at.cast("int")}
+    return out.withColumns(columns).drop("__f")
+
+
+def keyword_coverage(rows: DataFrame) -> DataFrame:
+    """Rows (answer, groups) with the share of groups that the answer covers, 1 without groups, and whether it is all."""
+    low = X.normalize_simple(F.col("answer"))
+    n = F.size(F.coalesce("groups", F.expr("cast(array() as array<array<string>>)")))
+    found = F.size(F.filter("groups", lambda g: F.exists(g, lambda k: F.contains(low, X.normalize_simple(k)))))
+    out = rows.withColumns({"n_groups": n, "n_hit": F.when(n > 0, found).otherwise(0)})
+    return out.withColumns({"coverage": F.when(F.col("n_groups") > 0, F.col("n_hit") / F.col("n_groups")).otherwise(1.0), "all_pass": F.col("n_hit") == F.col("n_groups")})
+
+
+def qrels(rows: DataFrame) -> DataFrame:
+    """qid, doc_id, gain: gold ids in long form, gain 1."""
+    return rows.select("qid", F.explode(F.array_distinct("gold")).alias("doc_id"), F.lit(1).alias("gain"))
+
+
+def run_table(rows: DataFrame, scores: str | None = None) -> DataFrame:
+    """qid, doc_id, score of the first place of each retrieved id; without scores that of the reciprocal rank."""
+    given = F.get(F.col(scores), F.col("pos")) if scores else F.lit(None).cast("double")
+    cells = rows.select("qid", *([scores] if scores else []), F.posexplode("retrieved").alias("pos", "doc_id"))
+    cells = cells.withColumn("score", F.coalesce(given, 1.0 / (F.col("pos") + 1)))
+    return cells.groupBy("qid", "doc_id").agg(F.min_by("score", "pos").alias("score"))
+
+
+def page_count(chunks: DataFrame) -> DataFrame:
+    """Distinct pages and sections of each document's chunks (page_start, page_end, section)."""
+    pages = chunks.select("doc_id", F.explode_outer(F.sequence("page_start", "page_end")).alias("page"), "section")
+    return pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.countDistinct("section").alias("sections"))

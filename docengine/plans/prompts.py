@@ -48,3 +48,18 @@ def retrieval_query(organization: Column, project: Column, doc_id: Column, quest
     """The question behind the lines of what else is known."""
     line = lambda name, c: F.when(F.trim(c) != "", F.concat(F.lit(f"{name}: "), F.trim(c)))
     return F.concat_ws("\n", line("기관명", organization), line("사업명", project), line("문서ID", doc_id), line("질문", question))
+
+
+def compact(hits: Column, longest: int = 1500) -> Column:
+    """Hits with their text cut."""
+    return F.transform(hits, lambda h: h.withField("text", F.substring(h["text"], 1, longest)))
+
+
+def ids_of(hits: Column, field: str = "doc_id", unique: bool = False) -> Column:
+    """Ids of the hits that have one."""
+    found = F.filter(F.transform(hits, lambda h: F.trim(h[field].cast("string"))), lambda x: x.isNotNull() & (x != ""))
+    return F.array_distinct(found) if unique else found
+
+
+def contexts_of(hits: Column) -> Column:
+    return F.filter(F.transform(hits, lambda h: h["text"]), lambda t: t.isNotNull() & (t != ""))

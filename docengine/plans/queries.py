@@ -450,6 +450,40 @@ def keyword_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_rows(spark, sf_dir).where("keyword_recall < 1").select("qid")
 
 
+_SIMPLE = "regexp_replace(lower({}), '[,\\s]+', '', 'g')"
+_GROUPED = f"SELECT item_id AS qid, {', '.join(_SIMPLE.format(f'regexp_split_to_array(b.text, {chr(39)}{chr(92)}s+{chr(39)})[{i}]') + f' AS w{i}' for i in (1, 2, 3))} FROM benchmark b"
+_RELEVANT = "contains(t, w1) AND (contains(t, w2) OR contains(t, w3))"
+
+
+@query(f"""WITH h AS ({_bm25("SELECT item_id AS qid, text FROM benchmark", 5)}), r AS (SELECT h.qid, rank, {_RELEVANT.replace("t,", _SIMPLE.format("d.text") + ",")} AS rel FROM h JOIN documents d ON d.doc_id = h.doc_id JOIN ({_GROUPED}) g ON g.qid = h.qid)
+  SELECT qid, {", ".join(f"CASE WHEN min(rank) FILTER (rel AND rank <= {k}) IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hit_{k}, round(coalesce(1.0::DOUBLE / min(rank) FILTER (rel AND rank <= {k}), 0), 6) AS mrr_{k}, CAST(min(rank) FILTER (rel AND rank <= {k}) AS INT) AS first_{k}" for k in (1, 5))} FROM r GROUP BY qid""")
+def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    hits = search.collect_hits(search.bm25(d, q, 5).join(d.select("doc_id", "text"), "doc_id"), "text")
+    w = F.split("text", "\\s+")
+    rows = q.select("qid", F.array(F.array(w[0]), F.array(w[1], w[2])).alias("groups")).join(hits, "qid").withColumn("contexts", F.transform("hits", lambda h: h.text))
+    scored = evaluation.keyword_retrieval(rows, (1, 5))
+    return scored.select("qid", *(c for k in (1, 5) for c in (f"hit_{k}", F.round(f"mrr_{k}", 6).alias(f"mrr_{k}"), f"first_{k}")))
+
+
+@query(f"SELECT qid, (a + b) / 2 AS coverage, a + b = 2 AS all_pass FROM (SELECT g.qid, CASE WHEN contains(t, w1) THEN 1 ELSE 0 END AS a, CASE WHEN contains(t, w2) OR contains(t, w3) THEN 1 ELSE 0 END AS b FROM ({_GROUPED}) g JOIN (SELECT doc_id, {_SIMPLE.format('text')} AS t FROM documents) d ON d.doc_id = g.qid)")
+def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.keyword_coverage(answers(spark, sf_dir)).select("qid", "coverage", "all_pass")
+
+
+@query(f"WITH h AS ({_dense(10)}) SELECT qid, doc_id::VARCHAR AS doc_id, round(1.0::DOUBLE / rank, 6) AS score, CASE WHEN doc_id IN (qid + 1, qid + 2) THEN 1 ELSE 0 END AS gain FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM h WHERE doc_id <> qid)")
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours(spark, sf_dir)
+    both = evaluation.run_table(rows).join(evaluation.qrels(rows), ["qid", "doc_id"], "left")
+    return both.select("qid", "doc_id", F.round("score", 6).alias("score"), F.coalesce("gain", F.lit(0)).alias("gain"))
+
+
+@query("SELECT conv_id AS doc_id, count(DISTINCT p) AS pages, count(DISTINCT role) AS sections FROM (SELECT conv_id, role, unnest(range(turn, turn + 2 + turn % 2)) AS p FROM conversations) GROUP BY conv_id")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_start"), (F.col("turn") + 1 + F.col("turn") % 2).alias("page_end"), F.col("role").alias("section"))
+    return evaluation.page_count(rows)
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the next turn where that is the assistant's."""
     c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn", "role"])

@@ -312,8 +312,10 @@ def with_markdown(pages: DataFrame, column: str = "html", skip: Sequence[str] =
 EXTRACTED = "path string, file_name string, file_type string, num_pages int, pages array<struct<page: int, text: string>>, text string, error string"
 
 
-def extract_one(kind: str, data: bytes) -> list[tuple[int, str]]:
-    """Pages of one file by its type."""
+def extract_one(kind: str, data: bytes, parsers: dict | None = None) -> list[tuple[int, str]]:
+    """Pages of one file by its type; parsers (type -> function from bytes to pages) come first, for OCR and the like."""
+    if parsers and kind in parsers:
+        return parsers[kind](data)
     if kind == "docx":
         return [(1, docx_text(data))]
     if kind == "hwp":
@@ -329,7 +331,7 @@ def extract_one(kind: str, data: bytes) -> list[tuple[int, str]]:
     raise ValueError(f"unsupported file type {kind!r}")
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, parsers: dict | None = None) -> DataFrame:
     """Pages and text of binary files; a file that cannot be read has an error and no text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,7 +339,7 @@ def extract(files: DataFrame) -> DataFrame:
             rows = []
             for path, name, kind, data in zip(frame["path"], frame["file_name"], frame["file_type"], frame["content"], strict=True):
                 try:
-                    pages, error = extract_one(kind, bytes(data)), None
+                    pages, error = extract_one(kind, bytes(data), parsers), None
                 except Exception as e:  # a broken file must not stop the others
                     pages, error = [], f"{type(e).__name__}: {e}"
                 text = None if error else "\n\n".join(t for _, t in pages)

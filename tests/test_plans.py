@@ -46,6 +46,22 @@ def test_rag_end_to_end(spark):
     assert {r.qid: r.retrieval_hit for r in report} == {1: True, 2: True, 3: False}
 
 
+def test_experiments_and_hits(spark):
+    from docengine.functions import text as X
+    from docengine.plans import experiments
+
+    chunks = spark.createDataFrame([(1, "보안 관리"), (2, "품질 보증")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "보안", ["1"]), (2, "보증", ["1"])], "qid long, text string, gold array<string>")
+    choices = experiments.matrix(top_k=[1, 2], candidate_k=[5])
+    got = {r.experiment: r.mrr_at_5 for r in experiments.compare(chunks, asked, choices, rag.extractive_generator()).collect()}
+    assert got == {"candidate_k=5,top_k=1": 0.5, "candidate_k=5,top_k=2": 0.5}
+    hits = spark.createDataFrame([([("a", "long text"), ("a", ""), (None, None)],)], "hits array<struct<doc_id: string, text: string>>")
+    r = hits.select(prompts.compact(F.col("hits"), 4).alias("c"), prompts.ids_of(F.col("hits"), unique=True).alias("i"), prompts.contexts_of(F.col("hits")).alias("t")).first()
+    assert r.c[0].text == "long" and r.i == ["a"] and r.t == ["long text"]
+    names = spark.createDataFrame([("第三條 別紙",), (None,)], "t string").select(X.spell_hanja(F.col("t")).alias("h"), X.short_model_name(F.lit("org/Model-7B-Instruct")).alias("m"), X.short_model_name(F.lit("GPT-4o")).alias("g")).first()
+    assert names.h == "제삼조 별지" and names.m == "Model-7B" and names.g == "gpt4o"
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
 class TestTables:
     def test_stream_equals_batch(self, spark, tmp_path):
