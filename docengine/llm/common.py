@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python works on slices of about this many bytes of text, whatever the batch size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
+BATCH, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; what goes to Python from now on goes in batches of BATCH_BYTES, unless the session says otherwise.
+
+    The default of 64 MB is held several times over, by the JVM's buffers and by each worker.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, DEFAULT_BATCH).removesuffix("b") == DEFAULT_BATCH:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the documented hold-out rule."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -81,6 +94,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = max(at + 1, int(sizes.searchsorted(before + size, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: worker processes live on between tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, text_of
+from docengine.llm.common import slices, small_batches, text_of
 
 #: Positions that each mask selects: five words of five to eight. Together they hit every overlap that
 #: counts as a leak below, wherever its differing words are (a test goes through all of them).
@@ -181,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
                 columns = [[ids[f[0]] for f in found], [index.item_ids[f[1]] for f in found], *([f[k] for f in found] for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in LEAKS.split(", ")])
 
-        part = rows.mapInArrow(run, LEAKS)
+        part = small_batches(rows).mapInArrow(run, LEAKS)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -197,5 +197,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
                 clean[[f[0] for f in shared.value.leaks(text_of(batch))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

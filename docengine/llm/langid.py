@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, text_of
+from docengine.llm.common import slices, small_batches, text_of
 
 WINDOW = 128
 HIDDEN = 10
@@ -197,7 +197,7 @@ def sample(docs: DataFrame, limit: int = FIT_DOCS, each: int = FIT_EACH) -> tupl
                 parts = [data[i * FIT_BYTES : (i + 1) * FIT_BYTES] for i in at]
                 yield pa.RecordBatch.from_pydict({"data": pa.array(parts, pa.binary()), "lang": pa.array([lang] * len(parts), pa.string())})
 
-    rows = known.join(F.broadcast(ids), "doc_id").limit(limit).mapInArrow(cut, "data binary, lang string").collect()
+    rows = small_batches(known).join(F.broadcast(ids), "doc_id").limit(limit).mapInArrow(cut, "data binary, lang string").collect()
     rows = sorted((bytes(r.data), r.lang) for r in rows)
     return [r[0] for r in rows], [r[1] for r in rows]
 
@@ -245,4 +245,4 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             names = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": np.where(letters, p.max(1), 0.0)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)

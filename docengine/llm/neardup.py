@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import slices, split_words, text_of, written
+from docengine.llm.common import slices, small_batches, split_words, text_of, written
 from docengine.llm.components import components
 
 WORDS = 5
@@ -103,7 +103,7 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     """SKETCHES values of one document's labelled k-mers."""
     kept = min(KEPT, len(kmers))
     out = np.empty(SKETCHES, np.uint64)
-    width = max(1, 2_000_000 // max(1, len(kmers)))  # very long documents take fewer hash functions at a time
+    width = max(1, 500_000 // max(1, len(kmers)))  # very long documents take fewer hash functions at a time
     for a in range(0, SKETCHES, width):
         values = kmers[None, :] * MULTIPLIERS[a : a + width, None]
         values ^= values >> np.uint64(32)
@@ -162,7 +162,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 "keys": pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys), pa.int64())),
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHED)
 
 
 def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             yield batch.append_column("__node", pa.array(labelled(text_of(batch))[2]))
 
-    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    marked = small_batches(docs).mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
     few = goes.count() <= BROADCAST_ROWS
     side = F.broadcast(goes) if few else goes
     on = (marked["__node"] == side["m"]) & marked["doc_id"].cast("long").eqNullSafe(side["d"])

@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, text_of
+from docengine.llm.common import slices, small_batches, text_of
 from docengine.llm.tokens import encoder, with_end
 
 CAPACITY = 4096
+#: Bytes of text that are encoded at a time.
+SLICE = 4 << 20
 #: Lengths of capacity / (CLASSES + 1) or less fill the room that the classes leave.
 CLASSES = 8
 #: Bins with room that may wait for a filler; beyond it any document fills them.
@@ -139,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False)
             arrays = {n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=False)}
             return pa.RecordBatch.from_pydict(arrays | ({"ids": pa.array(columns[7], pa.binary())} if with_ids else {}))
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids, offsets = with_end(*encode_texts(text_of(batch)), end)
             ids = ids.astype("<u4")
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -149,4 +151,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False)
         yield rows()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return small_batches(rows).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, split_words, text_of, written
+from docengine.llm.common import slices, small_batches, split_words, text_of, written
 
 ORDER = 4
 #: With more contexts and symbols than this the order is lowered; at order 1 there are at most 65,536.
@@ -227,7 +227,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 yield rows(kind, *merged(kind))
         yield rows(TEXTS, np.zeros(1, np.uint64), np.array([texts_seen]))
 
-    sums = docs.select("text").mapInArrow(run, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    sums = small_batches(docs).select("text").mapInArrow(run, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
     return written(sums, "counts")
 
 

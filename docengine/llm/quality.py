@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import labelled_sample, slices, text_of
+from docengine.llm.common import labelled_sample, slices, small_batches, text_of
 from docengine.llm.stats import COUNTS, FEATURES, statistics
 
 #: At most so many labelled documents are fitted on the driver.
@@ -30,7 +30,7 @@ def feature_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> t
             x = statistics(text_of(batch))[1]
             yield pa.RecordBatch.from_pydict({"x": pa.array([r.tobytes() for r in x], pa.binary()), "label": batch.column("label")})
 
-    rows: pd.DataFrame = labelled_sample(docs, labels, "quality", limit).mapInArrow(run, "x binary, label double").toPandas()
+    rows: pd.DataFrame = labelled_sample(small_batches(docs), labels, "quality", limit).mapInArrow(run, "x binary, label double").toPandas()
     if not len(rows):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     rows["x"] = rows["x"].map(bytes)
@@ -154,7 +154,7 @@ def apply_rules(docs: DataFrame, model: Trees, keep_from: float = KEEP_FROM) ->
             columns = {"doc_id": batch.column("doc_id")} | {c: counts[:, i] for i, c in enumerate(COUNTS)}
             yield pa.RecordBatch.from_pydict(columns | {"base_failed": failed, "kept": kept, "score": score})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, QUALITY)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, QUALITY)
 
 
 def keep_good(docs: DataFrame, model: Trees, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, model: Trees, keep_from: float = KEEP_FROM) -> Da
         for batch in slices(batches):
             yield batch.filter(pa.array(_verdicts(text_of(batch), model, keep_from)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Trees:
@@ -289,4 +289,4 @@ def score_quality(docs: DataFrame, model: Additive) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": sigmoid(model.raw(statistics(text_of(batch))[1]))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, text_of, written
+from docengine.llm.common import slices, small_batches, text_of, written
 from docengine.llm.tokens import encoder, with_end
 
 MAGIC = b"RNS1"
@@ -32,6 +32,8 @@ LANES = 4096
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 22
 CHECKPOINT = 128
+#: Bytes of text that are encoded at a time.
+SLICE = 4 << 20
 HEAD = struct.Struct("<4s6I")
 BLOCK = struct.Struct("<6I")
 
@@ -184,7 +186,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
             data = encode_file(doc_ids, np.concatenate(sizes), np.concatenate(parts))
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": pa.array([file], pa.int32()), "first": [first], "n_ids": [held], "data": pa.array([data], pa.binary())})
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids, offsets = with_end(*encode_texts(text_of(batch)), end)
             doc_ids += batch.column("doc_id").to_pylist()
             sizes.append(np.diff(offsets))
@@ -198,7 +200,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(encode, FILES), "tokens", compression="uncompressed")
+    return written(small_batches(rows).mapInArrow(encode, FILES), "tokens", compression="uncompressed")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -218,5 +220,5 @@ def read_files(files: DataFrame) -> DataFrame:
 
     # a shard per task of the writer: as many rows as partitions, so its running sum and broadcast are small
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    rows = files.select("shard", "first", "data").mapInArrow(decode, READ)
+    rows = small_batches(files).select("shard", "first", "data").mapInArrow(decode, READ)
     return rows.join(F.broadcast(shards), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")

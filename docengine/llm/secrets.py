@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, text_of
+from docengine.llm.common import slices, small_batches, text_of
 
 # fixed values: the base patterns of the scan's contract
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -192,7 +192,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [[{"start": a, "end": b, "kind": k} for a, b, k in f] for f in found]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "spans": pa.array(rows, kind), "strongest": pa.array(cost, pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPANS)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPANS)
 
 
 def _value(found: str, kind: str) -> str:
@@ -233,7 +233,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
             yield batch
 
-    out = docs.mapInArrow(run, schema)
+    out = small_batches(docs).mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         kind = schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text").cast(kind), F.col("n_chars"))))
