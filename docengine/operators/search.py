@@ -6,6 +6,7 @@ so what is shuffled is k rows for each query and task, whatever the size of the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ K1, B = 1.5, 0.75
 #: Queries that one pass over the rows holds.
 BLOCK = 2000
 PLACES = 6
+TERM = re.compile("[가-힣A-Za-z0-9]+")
 
 
 def top_k(rows: DataFrame, k: int, group: str = "qid", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -52,9 +54,9 @@ def corpus_stats(docs: DataFrame) -> tuple[int, float]:
     return n, mean or 0.0
 
 
-def term_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df, idf of the given distinct terms (term); terms are matched inside tasks before counting."""
-    n = docs.count()
+def term_stats(docs: DataFrame, terms: DataFrame, n: int | None = None) -> DataFrame:
+    """term, df, idf of the given distinct terms (term) over n documents; terms are matched before counting."""
+    n = docs.count() if n is None else n
     each = docs.select(F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
     found = each.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     return found.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -74,18 +76,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: flo
     a query repeats counts as often as it stands there.
     """
     n, mean = corpus_stats(docs)
-    idf = {r.term: r.idf for part in [term_stats(docs, query_terms(queries))] for r in part.toLocalIterator()}
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), search_terms(F.col("text")).alias("terms"))
     parts = []
     for block in blocks(queries, ["qid", "text"]):
         listed = [(r.qid, r.text) for r in block]
+        terms = sorted({t for _, text in listed for t in TERM.findall((text or "").lower())})
+        # as many rows as the block has terms
+        idf = {r.term: r.idf for r in term_stats(docs, F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string")), n).collect()}
 
-        def run(frames: Iterator[pd.DataFrame], listed: list = listed) -> Iterator[pd.DataFrame]:
-            import re
-
+        def run(frames: Iterator[pd.DataFrame], listed: list = listed, idf: dict = idf) -> Iterator[pd.DataFrame]:
             asked: dict[str, dict[int, int]] = {}
             for q, (_, text) in enumerate(listed):
-                for t in re.findall("[가-힣A-Za-z0-9]+", (text or "").lower()):
+                for t in TERM.findall((text or "").lower()):
                     asked.setdefault(t, {})[q] = asked.get(t, {}).get(q, 0) + 1
             weights = {t: (np.array(list(qs)), idf[t] * np.array(list(qs.values()), float)) for t, qs in asked.items() if t in idf}
             best: list[pd.DataFrame] = []
@@ -111,7 +114,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: flo
                 yield pd.DataFrame({"qid": [listed[q][0] for q in out["q"]], "doc_id": out["doc_id"], "score": out["score"]})
 
         parts.append(rows.mapInPandas(run, HITS))
-    return top_k(_union(parts, docs.sparkSession.createDataFrame([], HITS)), k)
+    return top_k(_union(parts, spark.createDataFrame([], HITS)), k)
 
 
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
