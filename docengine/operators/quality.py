@@ -52,6 +52,12 @@ def rejection_reasons(items: DataFrame) -> DataFrame:
     return items.withColumn("reasons", F.array_compact(reasons))
 
 
+def backfill_doc_id(items: DataFrame) -> DataFrame:
+    """The items without gold_ids, whose first fills an empty doc_id."""
+    own = F.nullif(F.trim(F.col("doc_id").cast("string")), F.lit(""))
+    return items.withColumn("doc_id", F.coalesce(own, F.get("gold_ids", F.lit(0)))).drop("gold_ids")
+
+
 def reason_counts(items: DataFrame) -> DataFrame:
     return items.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -83,12 +83,21 @@ def single_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.single_line_clean(F.col("text")).alias("clean_text"))
 
 
-@query()
+_GUARDED = _re("text", ("(?m)^\\s*-\\s*\\d+\\s*-\\s*$", ""), ("(?im)^\\s*\\[?\\s*Page\\s*\\d+\\s*\\]?\\s*$", ""), ("(?m)^\\s*\\d+\\s*/\\s*\\d+\\s*$", ""), ("(?m)(제안요청서|과업지시서|시방서|사업계획서)\\s*$", ""), ("\\x{a0}", " "), (CONTROL, ""), ("[★■◆▲▼◀▶●♣♠♦♥➔➢➣❑❒❖❘❙❚]", " "))
+_GUARDED = STRIP.format(_re(_GUARDED, ("제\\s*(\\d+)\\s*조", "제\\1조"), ("([①-⑮])\\s+", "\\1 "), ("(\\d+)\\s*\\.", "\\1."), (" {2,}", " "), ("\\n{3,}", "\n\n")))
+
+
+@query(f"SELECT doc_id, {_GUARDED} AS clean_text FROM documents")
 def guarded_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.guarded_clean(F.col("text")).alias("clean_text"))
 
 
-@query()
+_CHUNKING = STRIP.format(_re("text", ("\\r\\n?", "\n"), ("　", " "), ("[\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}]", ""), ("[ \\t]+", " "), ("[ \\t]*\\n[ \\t]*", "\n"), ("\\n{3,}", "\n\n")))
+_PAGE = STRIP.format(_re("text", ("\\r\\n?", "\n"), ("[ \\t]+\\n", "\n"), ("\\n{3,}", "\n\n")))
+_TOC = STRIP.format(_re("text", ("[\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}]", ""), ("[^가-힣a-zA-Z0-9\\s.,?!()\\[\\]%\\-\\x{2160}-\\x{217F}①-⑮·]", " "), (" {3,}", " "), ("\\n{3,}", "\n"), ("\\t", " "), (" {2,}", " ")))
+
+
+@query(f"SELECT doc_id, md5({_CHUNKING}) AS chunking, md5(CASE WHEN lower({_PAGE}) = 'nan' THEN '' ELSE {_PAGE} END) AS page, md5({_TOC}) AS toc, md5(regexp_replace(lower(text), '[,\\s]+', '', 'g')) AS simple FROM documents")
 def chunking_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalize_for_chunking(t, zero_width=True)).alias("chunking"), F.md5(X.normalize_page(t)).alias("page"), F.md5(X.prepare_for_toc(t)).alias("toc"), F.md5(X.normalize_simple(t)).alias("simple"))
@@ -502,10 +511,20 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies(spark, sf_dir).select("conv_id", "turn", F.round(M.token_f1(F.col("question"), F.col("answer")), 6).alias("f1"))
 
 
+_GRAMS = "list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' '))"
+_GRAM_LISTS = ", ".join(f"{_GRAMS.format('x', n)} AS x{n}, {_GRAMS.format('y', n)} AS y{n}" for n in range(1, 5))
+_FOUND = ", ".join(f"coalesce(list_sum(list_transform(list_distinct(y{n}), lambda g: least(len(list_filter(x{n}, lambda u: u = g)), len(list_filter(y{n}, lambda u: u = g))))), 0) AS f{n}" for n in range(1, 5))
+_LOGS = " + ".join(f"0.25 * ln(CASE WHEN f{n} = 0 THEN 0.1 ELSE f{n} END::DOUBLE / greatest(1, len(y{n})))" for n in range(1, 5))
+
+
+@query(f"SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 OR f1 = 0 THEN 0.0::DOUBLE ELSE exp({_LOGS}) * CASE WHEN len(y) > len(x) THEN 1.0::DOUBLE ELSE exp(1 - len(x)::DOUBLE / len(y)) END END, 6) AS bleu FROM (SELECT *, {_FOUND} FROM (SELECT *, {_GRAM_LISTS} FROM ({_REPLIES})))")
+def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies(spark, sf_dir).select("conv_id", "turn", F.round(M.bleu(F.col("question"), F.col("answer")), 6).alias("bleu"))
+
+
 @query()
-def answer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a = F.col("question"), F.col("answer")
-    return replies(spark, sf_dir).select("conv_id", "turn", F.round(M.bleu(q, a), 6).alias("bleu"), F.round(M.rouge_l(q, a), 6).alias("rouge_l"))
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies(spark, sf_dir).select("conv_id", "turn", F.round(M.rouge_l(F.col("question"), F.col("answer")), 6).alias("rouge_l"))
 
 
 _METRIC = "SELECT event_type, 'value' AS metric, value AS v FROM events UNION ALL SELECT event_type, 'tokens', json_extract_string(props, '$.k')::DOUBLE FROM events"
