@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import slices, small_batches, split_words, text_of, written
 
-ORDER = 4
+ORDER = 5
 #: With more contexts and symbols than this the order is lowered; at order 1 there are at most 65,536.
-MOST_LEAVES = 4_000_000
+MOST_LEAVES = 6_000_000
 HEAD_BITS = 21
-TABLE_BITS = 21
+TABLE_BITS = 22
 #: Counts of a worker's slices are summed before they are sent on, up to so many distinct ones.
 PENDING = 1_000_000
 #: Bytes of text at a time: each takes a hundred bytes of arrays here.
@@ -102,7 +102,7 @@ class Model:
             context, size = counted(above)
             place = np.repeat(np.arange(len(context)), size)
             self.leaf.append(leaf)
-            self.count.append(np.log10(count))
+            self.count.append(np.log10(count).astype(np.float32))
             self.context.append(context)
             t = np.bincount(place, count, len(context))
             total.append(t)
@@ -124,18 +124,18 @@ class Model:
     def _costs(total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the denominator, and of the escape (certain where nothing is left)."""
         both = np.maximum(total + distinct, 1)
-        return np.log10(both), np.where(distinct > 0, np.log10(np.maximum(distinct, 1) / both), 0.0)
+        return np.log10(both).astype(np.float32), np.where(distinct > 0, np.log10(np.maximum(distinct, 1) / both), 0.0).astype(np.float32)
 
     def _table(self) -> None:
         """A hash table of the costs of the longest strings; the commoner of two in one slot stays."""
         keys = self.leaf[-1]
-        self.costs = self.spelled(keys).astype(np.float32)
+        costs = np.concatenate([self.spelled(keys[i : i + 500_000]).astype(np.float32) for i in range(0, len(keys), 500_000)] or [np.zeros(0, np.float32)])
         slot = self._slot(keys)
         order = np.argsort(self.count[-1], kind="stable")
         self.slot_key = np.full(1 << TABLE_BITS, ~np.uint64(0))
         self.slot_cost = np.zeros(1 << TABLE_BITS, np.float32)
         self.slot_key[slot[order]] = keys[order]
-        self.slot_cost[slot[order]] = self.costs[order]
+        self.slot_cost[slot[order]] = costs[order]
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
