@@ -46,16 +46,11 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return flat.dictionary_encode(), (bounds - bounds[0]).astype(np.int64)
 
 
-def seeds(ids: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
-    """A hash of the masked words at each position; shorter than ids by the mask's span less one."""
-    n = len(ids) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    wide = ids.astype(np.uint64)
-    total = np.full(n, salt + 1, np.uint64) * FACTORS[0]
-    for at, factor in zip(mask, FACTORS, strict=True):
-        x = wide[at : at + n] + np.uint64(1)
-        total = (total ^ (x * factor)) * FACTORS[1]
+def seeds(ids: np.ndarray, at: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
+    """A hash of the words that the mask selects at each of the positions `at`."""
+    total = np.full(len(at), salt + 1, np.uint64) * FACTORS[0]
+    for step, factor in zip(mask, FACTORS, strict=True):
+        total = (total ^ ((ids[at + step].astype(np.uint64) + np.uint64(1)) * factor)) * FACTORS[1]
         total ^= total >> np.uint64(29)
     return total
 
@@ -83,10 +78,10 @@ class Index:
             if len(words) < SHORTEST:
                 continue
             for k, mask in enumerate(MASKS):
-                h = seeds(words, mask, k)
-                hashes.append(h)
-                item.append(np.full(len(h), i, np.int32))
-                position.append(np.arange(len(h), dtype=np.int32))
+                at = np.arange(max(0, len(words) - mask[-1]))
+                hashes.append(seeds(words, at, mask, k))
+                item.append(np.full(len(at), i, np.int32))
+                position.append(at.astype(np.int32))
         if not hashes:
             hashes, item, position = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         h, i, p = np.concatenate(hashes), np.concatenate(item), np.concatenate(position)
@@ -115,10 +110,7 @@ class Index:
                 continue
             text = np.searchsorted(bounds, at, side="right") - 1
             at = at[at + mask[-1] < bounds[text + 1]]
-            total = np.full(len(at), k + 1, np.uint64) * FACTORS[0]
-            for step, factor in zip(mask, FACTORS, strict=True):
-                total = (total ^ ((ids[at + step].astype(np.uint64) + np.uint64(1)) * factor)) * FACTORS[1]
-                total ^= total >> np.uint64(29)
+            total = seeds(ids, at, mask, k)
             maybe = self.bitmap[total >> np.uint64(64 - FILTER_BITS)]
             at, total = at[maybe], total[maybe]
             low, high = np.searchsorted(self.hashes, total, side="left"), np.searchsorted(self.hashes, total, side="right")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, small_batches, text_of
+from docengine.llm.common import give_back, slices, small_batches, text_of
 from docengine.llm.tokens import encoder, with_end
 
 CAPACITY = 4096
@@ -114,11 +114,12 @@ def _merged(sequence: list[Piece]) -> list[Piece]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False, remember: bool = True) -> DataFrame:
     """Pieces of the documents (doc_id, text): each id of text plus the end id lies in one piece.
 
     Null text counts as empty; repeated rows are documents of their own. A sequence's number holds its
-    worker's partition above bit 40. with_ids adds the ids of a piece as 32-bit little-endian bytes.
+    worker's partition above bit 40. with_ids adds the ids of a piece as 32-bit little-endian bytes. Without
+    remember a worker forgets its encoder after each task: slower, but other stages find its memory free.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +150,10 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = False)
             yield rows()
         packer.finish()
         yield rows()
+        if not remember:
+            encoder.cache_clear()
+            del encode_texts
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return small_batches(rows).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

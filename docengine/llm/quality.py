@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +29,9 @@ def feature_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> t
             x = statistics(text_of(batch))[1]
             yield pa.RecordBatch.from_pydict({"x": pa.array([r.tobytes() for r in x], pa.binary()), "label": batch.column("label")})
 
-    rows: pd.DataFrame = labelled_sample(small_batches(docs), labels, "quality", limit).mapInArrow(run, "x binary, label double").toPandas()
-    if not len(rows):
-        return np.zeros((0, len(FEATURES))), np.zeros(0)
-    rows["x"] = rows["x"].map(bytes)
-    rows = rows.sort_values(["x", "label"])  # the fit does not depend on the order of arrival
-    return np.frombuffer(b"".join(rows["x"]), np.float64).reshape(-1, len(FEATURES)), rows["label"].to_numpy()
+    found = labelled_sample(small_batches(docs), labels, "quality", limit).mapInArrow(run, "x binary, label double").toArrow()
+    rows = sorted(zip(found["x"].to_pylist(), found["label"].to_pylist(), strict=True))  # the fit does not depend on the order of arrival
+    return np.frombuffer(b"".join(r[0] for r in rows), np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], np.float64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
