@@ -39,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4,096 tokens."""
-    return pack(docs, tokenizer("word_bpe_49k.json"))
+    return pack(docs, tokenizer("word_bpe_49k.json"), remember=False)
 
 
 STAGES = [
