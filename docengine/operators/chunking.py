@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.text import strip
+from docengine.functions.text import guarded_clean, is_table_text, strip
 from docengine.operators.headings import level_lines, lines_of, outline_lines
 
 # ---- by length alone
@@ -431,9 +431,7 @@ def cited_chunks(rows: DataFrame, parent_from: int = 1500, child: int = 300, ove
 
     Long clauses and tables give small children with the whole clause as parent; others stay one chunk.
     """
-    from docengine.functions.text import guarded_clean, is_table_text
-
-    split = F.udf(lambda t: recursive_split(t, child, overlap), "array<string>")
+    split = F.pandas_udf(lambda s: s.map(lambda t: recursive_split(t, child, overlap)), "array<string>")
     clean = rows.select("doc_id", "page_no", "article", is_table_text(F.col("text")).alias("raw_table"), guarded_clean(F.col("text")).alias("clean")).where("clean != ''")
     cite = F.format_string("[%s - %sp] %s: ", F.col("doc_id").cast("string"), F.col("page_no").cast("string"), F.col("article"))
     small = F.col("raw_table") | (F.length("clean") > parent_from) | is_table_text(F.col("clean"))
