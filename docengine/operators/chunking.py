@@ -204,6 +204,7 @@ def recursive_split(text: str, longest: int = 300, overlap: int = 50, separators
     return out
 
 
+# fixed values: lines that begin a section of a table of contents
 ROMAN_OR_CHAPTER = re.compile(r"^\s*(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|\b[IVXLCDM]+\b|제\s*\d+\s*장)", re.M)
 
 
@@ -235,6 +236,7 @@ def merge_pages(pages: list[tuple[int, str]], shortest: int = 500, longest: int
     return [(a, b, tidy(t, blanks=False)) for a, b, t in units]
 
 
+# fixed values: markdown headings, and clause lines with their levels
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 CLAUSES = ((1, re.compile(r"제\s*\d+\s*조(?:\s*\([^)]*\)|[^\n]*)?$")), (2, re.compile(r"[①-⑳]\s*|\(?\d{1,2}\)\s+")), (3, re.compile(r"\d{1,2}[.)]\s+|[가-힣][.)]\s+")))
 
@@ -292,6 +294,7 @@ def markdown_hierarchy(pages: list[tuple[int, str]], longest: int = 1500, overla
                 yield {"section_idx": n, "split_idx": i, "title": s["title"], "level": s["level"], "path": s["path"], "page_start": s["first"], "page_end": s["last"], "child_text": text, "text": whole, "is_child": small, "cut": cut}
 
 
+# fixed values: the line of an article, and where text before the first belongs
 ARTICLE = re.compile(r"제\s*\d+\s*조\s*\(.*?\)")
 
 
