@@ -20,8 +20,8 @@ def match_names(wanted: DataFrame, files: DataFrame, shortest: int = 4, unicode:
     """Each wanted name with the file it means and the tier of the match: the same name, the same normalised name,
     the same normalised stem, one stem inside the other.
 
-    The last tier joins by the first `shortest` characters of each window of the longer stem, not all with all;
-    stems shorter than that only match in the tiers before. Ties go to the better suffix, then the smaller path.
+    The last tier joins by runs of `shortest` characters, of the shorter stem the one that occurs least, not all with
+    all; stems shorter than that only match in the tiers before. Ties go to the better suffix, then the smaller path.
     """
     a = wanted.select("name").distinct().withColumn("norm", normalize_file_name(F.col("name"), unicode)).withColumn("stem", _stem(F.col("norm")))
     b = files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("file")).withColumn("norm", normalize_file_name(F.col("file"), unicode)).withColumn("stem", _stem(F.col("norm")))
@@ -36,9 +36,11 @@ def match_names(wanted: DataFrame, files: DataFrame, shortest: int = 4, unicode:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - shortest + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(shortest))))
 
     def inside(short: DataFrame, long: DataFrame) -> DataFrame:
-        s = short.where(F.length("stem") >= shortest).withColumn("gram", F.substring("stem", 1, shortest)).withColumnRenamed("stem", "short")
         t = long.withColumn("gram", F.explode(windows(F.col("stem")))).withColumnRenamed("stem", "long")
-        return s.join(t, "gram").where(F.contains(F.col("long"), F.col("short"))).select(*keep, F.lit(4).alias("tier"))
+        seen = t.groupBy("gram").agg(F.count("*").alias("n"))
+        grams = short.where(F.length("stem") >= shortest).withColumn("gram", F.explode(windows(F.col("stem")))).withColumnRenamed("stem", "short")
+        rarest = grams.join(seen, "gram", "left").groupBy(*(c for c in grams.columns if c != "gram")).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        return rarest.join(t, "gram").where(F.contains(F.col("long"), F.col("short"))).select(*keep, F.lit(4).alias("tier"))
 
     found = exact.unionByName(norm).unionByName(stem).unionByName(inside(a.select("name", "stem"), b.select("path", "suffix", "stem"))).unionByName(inside(b.select("path", "suffix", "stem"), a.select("name", "stem")))
     best = found.groupBy("name").agg(F.min(F.struct("tier", "suffix", "path")).alias("best"))

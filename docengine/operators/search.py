@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from docengine.functions.text import search_terms
 
 K1, B = 1.5, 0.75
 #: Queries that one pass over the rows holds.
-BLOCK = 2000
+BLOCK = 500
+#: Documents whose scores are one matrix product with a block's terms.
+DOCS_AT_ONCE = 128
 PLACES = 6
 TERM = re.compile("[가-힣A-Za-z0-9]+")
 
@@ -77,7 +80,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: flo
     """
     n, mean = corpus_stats(docs)
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), search_terms(F.col("text")).alias("terms"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), search_terms(F.col("text")).alias("terms"))
     parts = []
     for block in blocks(queries, ["qid", "text"]):
         listed = [(r.qid, r.text) for r in block]
@@ -85,35 +88,40 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: flo
         # as many rows as the block has terms
         idf = {r.term: r.idf for r in term_stats(docs, F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string")), n).collect()}
 
-        def run(frames: Iterator[pd.DataFrame], listed: list = listed, idf: dict = idf) -> Iterator[pd.DataFrame]:
-            asked: dict[str, dict[int, int]] = {}
-            for q, (_, text) in enumerate(listed):
-                for t in TERM.findall((text or "").lower()):
-                    asked.setdefault(t, {})[q] = asked.get(t, {}).get(q, 0) + 1
-            weights = {t: (np.array(list(qs)), idf[t] * np.array(list(qs.values()), float)) for t, qs in asked.items() if t in idf}
-            best: list[pd.DataFrame] = []
-            for frame in frames:
-                found = []
-                for doc, terms in zip(frame["doc_id"], frame["terms"], strict=True):
-                    score = np.zeros(len(listed))
-                    norm = k1 * (1 - b + b * len(terms) / mean) if mean else k1
-                    count: dict[str, int] = {}
-                    for t in terms:
-                        if t in weights:
-                            count[t] = count.get(t, 0) + 1
-                    for t, tf in count.items():
-                        q, w = weights[t]
-                        score[q] += w * (tf * (k1 + 1) / (tf + norm))
-                    hit = np.flatnonzero(score > 0)
-                    found.append(pd.DataFrame({"q": hit, "doc_id": doc, "score": np.round(score[hit], PLACES)}))
-                if found:
-                    best.append(_best(pd.concat([*best, *found], ignore_index=True), k))
-                    best = best[-1:]
-            if best:
-                out = best[0]
-                yield pd.DataFrame({"qid": [listed[q][0] for q in out["q"]], "doc_id": out["doc_id"], "score": out["score"]})
-
-        parts.append(rows.mapInPandas(run, HITS))
+        place = {t: i for i, t in enumerate(terms) if t in idf}
+        weight = np.zeros((len(terms), len(listed)))
+        for q, (_, text) in enumerate(listed):
+            for t in TERM.findall((text or "").lower()):
+                if t in place:
+                    weight[place[t], q] += idf[t]
+
+        shared = spark.sparkContext.broadcast((np.array([q for q, _ in listed], np.int64), place, weight))
+
+        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            names, place, weight = shared.value
+            held: pd.DataFrame | None = None
+            for batch in batches:
+                lists, doc_ids = batch.column("terms"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+                bounds = lists.offsets.to_numpy().astype(np.int64)
+                bounds -= bounds[0]
+                coded = lists.flatten().dictionary_encode()
+                own = np.array([place.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+                term = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+                length = np.diff(bounds)
+                norm = k1 * (1 - b + b * length / mean) if mean else np.full(len(length), k1)
+                for at in range(0, len(doc_ids), DOCS_AT_ONCE):
+                    end = min(at + DOCS_AT_ONCE, len(doc_ids))
+                    part = term[bounds[at] : bounds[end]]
+                    doc = np.repeat(np.arange(end - at), length[at:end])[part >= 0]
+                    tf = np.bincount(doc * len(weight) + part[part >= 0], minlength=(end - at) * len(weight)).reshape(end - at, -1)
+                    score = np.round((tf * (k1 + 1) / (tf + norm[at:end, None])) @ weight, PLACES)
+                    d, q = np.nonzero(score > 0)
+                    new = pd.DataFrame({"q": q, "doc_id": doc_ids[at + d], "score": score[d, q]})
+                    held = _best(new if held is None else pd.concat([held, new], ignore_index=True), k)
+            if held is not None and len(held):
+                yield pa.RecordBatch.from_pydict({"qid": names[held["q"].to_numpy()], "doc_id": held["doc_id"].to_numpy(), "score": held["score"].to_numpy()})
+
+        parts.append(rows.mapInArrow(run, HITS))
     return top_k(_union(parts, spark.createDataFrame([], HITS)), k)
 
 
