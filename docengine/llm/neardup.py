@@ -175,7 +175,7 @@ def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             same = np.flatnonzero(marks == batch.column("node").to_numpy())  # a repeated id may have other texts too
             yield pa.RecordBatch.from_pydict({"node": marks[same], "kmers": pa.array([short[ends[i] : ends[i + 1]].tobytes() for i in same.tolist()], pa.binary())})
 
-    side = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    side = _side(nodes)
     rows = docs.select("doc_id", "text").join(side, docs["doc_id"].eqNullSafe(side["doc_id"])).select("text", "node")
     return written(rows.mapInArrow(run, "node long, kmers binary").dropDuplicates(["node"]), "bodies")
 
@@ -194,6 +194,15 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "verified")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if it has few rows, so that the other side stays where it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _classes_of(edges: DataFrame) -> DataFrame:
+    return _side(written(components(edges), "labels"))
+
+
 def _labels(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         found = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
@@ -202,10 +211,10 @@ def _labels(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, last, node) of buckets with several classes, with the class and the bucket's size."""
+    """The rows (key, last, node, ...) of buckets with several classes, with the class and the bucket's size."""
     named = _labels(rows, labels, "node").withColumnRenamed("node_label", "label")
-    several = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    return written(named.join(several.select("key", "size"), "key"), "mixed")
+    several = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key", "size")
+    return written(named.join(_side(written(several, "several")), "key"), "mixed")
 
 
 def _likeliest(nodes: np.ndarray, label: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +230,8 @@ def _likeliest(nodes: np.ndarray, label: np.ndarray, keys: np.ndarray) -> tuple[
     return i[good], j[good]
 
 
-def _partners(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of the nodes of small buckets with their likeliest nodes of other classes in the bucket."""
+def _partners(rows: DataFrame) -> DataFrame:
+    """Pairs of the nodes of small buckets (key, node, label, keys) with their likeliest nodes of other classes in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last bucket of a batch may go on in the next, up to INSIDE rows
@@ -242,8 +251,7 @@ def _partners(rows: DataFrame, keys: DataFrame) -> DataFrame:
             u, v = np.unique(np.concatenate(pairs, 1), axis=1)
             yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
-    rows = rows.select("key", "node", "label").join(keys.where(F.size("keys") == SKETCHES), "node").select("key", "node", "label", "keys")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
+    return rows.select("key", "node", "label", "keys").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +264,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = nodes.select("node", "n_kmers", F.posexplode("keys").alias("last", "key"))
     # the order of nodes by node ^ key differs from bucket to bucket, and its minimum gives the node back
     buckets = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("least"), F.count("*").alias("size")).where("size > 1")
-    rows = written(rows.join(buckets.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "key"), "buckets")
+    buckets = written(buckets.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "pivots")
+    rows = written(rows.join(_side(buckets), "key"), "buckets")
     lengths = nodes.select(F.col("node").alias("pivot"), F.col("n_kmers").alias("p_kmers"))
     pairs = rows.where("node != pivot").select("node", "pivot", "n_kmers").distinct().join(lengths, "pivot")
     pairs = pairs.where(F.least("n_kmers", "p_kmers") >= SIMILARITY * F.greatest("n_kmers", "p_kmers"))
@@ -266,11 +275,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a pair or two of each node first; the others need no look where their ends are in one class by then
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionAll(pairs.groupBy("u").agg(F.max("v").alias("v"))).distinct()
     edges = _verified(first, bodies)
-    labels = components(edges)
+    labels = _classes_of(edges)
     edges, labels, _ = _more(pairs, edges, labels, bodies)
 
-    rows, keys = rows.select("key", "last", "node"), nodes.select("node", "keys")
-    mixed = _mixed(rows, labels)
+    mixed = _mixed(rows.select("key", "last", "node"), labels)
+    mixed = written(nodes.select("node", "keys").join(_side(mixed), "node"), "mixed")  # once: the keys stay with the rows from here
     while mixed.take(1):
         small = [mixed.where(F.col("size") <= INSIDE)]
         large = mixed.where(F.col("size") > INSIDE)
@@ -278,18 +287,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if not large.take(1):
                 break
             after = F.element_at("keys", (F.pmod(F.col("last") + 1, F.lit(SKETCHES)) + 1).cast("int"))
-            split = large.select("key", "last", "node").join(keys, "node").select(F.xxhash64("key", after).alias("key"), (F.col("last") + 1).alias("last"), "node")
+            split = large.select(F.xxhash64("key", after).alias("key"), (F.col("last") + 1).alias("last"), "node", "keys")
             part = _mixed(split, labels)
             small.append(part.where(F.col("size") <= INSIDE))
             large = part.where(F.col("size") > INSIDE)
         tried = small[0]
         for part in small[1:]:
             tried = tried.unionByName(part)
-        edges, labels, found = _more(_partners(tried, keys), edges, labels, bodies)
+        edges, labels, found = _more(_partners(tried), edges, labels, bodies)
         if not found:
             break
         # where no node's class has changed, the same nodes would be compared again
-        last, mixed = mixed.select("key", "node", F.col("label").alias("before")), _mixed(mixed.select("key", "last", "node"), labels)
+        last, mixed = mixed.select("key", "node", F.col("label").alias("before")), _mixed(mixed.drop("label", "size"), labels)
         changed = mixed.join(last, ["key", "node"]).where("label != before").select("key").distinct()
         mixed = written(mixed.join(changed, "key", "left_semi"), "mixed")
     named = nodes.select("node", "doc_id", "n_copies").join(labels, "node", "left")
@@ -303,7 +312,7 @@ def _more(pairs: DataFrame, edges: DataFrame, labels: DataFrame, bodies: DataFra
     if not found.take(1):
         return edges, labels, False
     edges = edges.unionAll(found)
-    return edges, components(edges), True
+    return edges, _classes_of(edges), True
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
