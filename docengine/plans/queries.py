@@ -729,5 +729,5 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, cut and search: the five best chunks for each question."""
     docs = table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text"), unicode=False).alias("text"))
-    chunks = chunking.stride_chunks(docs).select((F.col("doc_id") * 1000 + F.col("chunk_idx")).alias("doc_id"), "text")
+    chunks = chunking.stride_chunks(docs).select((F.col("doc_id") * 1_000_000 + F.col("chunk_idx")).alias("doc_id"), "text")
     return search.bm25(chunks, questions(spark, sf_dir), 5)
