@@ -51,12 +51,6 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 # ---- BM25
 
 
-def corpus_stats(docs: DataFrame) -> tuple[int, float]:
-    """Documents and their mean number of terms; documents without terms count."""
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(search_terms(F.col("text"))))).first()
-    return n, mean or 0.0
-
-
 def term_stats(docs: DataFrame, terms: DataFrame, n: int | None = None) -> DataFrame:
     """term, df, idf of the given distinct terms (term) over n documents; terms are matched before counting."""
     n = docs.count() if n is None else n
@@ -72,28 +66,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
 HITS = "qid long, doc_id long, score double"
 
 
+def _asked(batch: pa.RecordBatch, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each term of a batch's lists (-1 if it is not asked for) and the lists' bounds."""
+    lists = batch.column("terms")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    own = np.array([place.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+    return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64), bounds - bounds[0]
+
+
+def _block_stats(rows: DataFrame, terms: list[str]) -> tuple[int, float, np.ndarray]:
+    """Documents, their mean number of terms, and the document frequency of each of the terms, in one pass."""
+    shared = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
+        df, n, total = np.zeros(len(place), np.int64), 0, 0
+        for batch in batches:
+            term, bounds = _asked(batch, place)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))[term >= 0]
+            pairs = np.unique(doc * len(place) + term[term >= 0]) if len(place) else doc
+            df += np.bincount(pairs % max(1, len(place)), minlength=len(place))[: len(place)]
+            n, total = n + batch.num_rows, total + int(bounds[-1])
+        keys = np.concatenate([np.flatnonzero(df), [-1, -2]])
+        yield pa.RecordBatch.from_pydict({"key": keys, "n": np.concatenate([df[df > 0], [n, total]])})
+
+    found = {r.key: r.n for r in rows.select("terms").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    n, total = found.get(-1, 0), found.get(-2, 0)
+    return n, total / n if n else 0.0, np.array([found.get(i, 0) for i in range(len(terms))], np.float64)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, score, rank of the k best documents (doc_id, text) for each query (qid, text), scores over 0 only.
 
     Scores are rounded to PLACES before ranking, so that ties do not hang on the order of a sum. A term that
     a query repeats counts as often as it stands there.
     """
-    n, mean = corpus_stats(docs)
     spark = docs.sparkSession
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), search_terms(F.col("text")).alias("terms"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), search_terms(F.col("text")).alias("terms"))
     parts = []
     for block in blocks(queries, ["qid", "text"]):
         listed = [(r.qid, r.text) for r in block]
         terms = sorted({t for _, text in listed for t in TERM.findall((text or "").lower())})
-        # as many rows as the block has terms
-        idf = {r.term: r.idf for r in term_stats(docs, F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string")), n).collect()}
-
-        place = {t: i for i, t in enumerate(terms) if t in idf}
+        n, mean, df = _block_stats(rows, terms)
+        place = {t: i for i, t in enumerate(terms)}
+        idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
         weight = np.zeros((len(terms), len(listed)))
         for q, (_, text) in enumerate(listed):
             for t in TERM.findall((text or "").lower()):
-                if t in place:
-                    weight[place[t], q] += idf[t]
+                weight[place[t], q] += idf[place[t]]
 
         shared = spark.sparkContext.broadcast((np.array([q for q, _ in listed], np.int64), place, weight))
 
@@ -101,12 +122,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: flo
             names, place, weight = shared.value
             held: pd.DataFrame | None = None
             for batch in batches:
-                lists, doc_ids = batch.column("terms"), batch.column("doc_id").to_numpy(zero_copy_only=False)
-                bounds = lists.offsets.to_numpy().astype(np.int64)
-                bounds -= bounds[0]
-                coded = lists.flatten().dictionary_encode()
-                own = np.array([place.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
-                term = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+                doc_ids = batch.column("doc_id").to_numpy()
+                term, bounds = _asked(batch, place)
                 length = np.diff(bounds)
                 norm = k1 * (1 - b + b * length / mean) if mean else np.full(len(length), k1)
                 for at in range(0, len(doc_ids), DOCS_AT_ONCE):
@@ -121,7 +138,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: flo
             if held is not None and len(held):
                 yield pa.RecordBatch.from_pydict({"qid": names[held["q"].to_numpy()], "doc_id": held["doc_id"].to_numpy(), "score": held["score"].to_numpy()})
 
-        parts.append(rows.mapInArrow(run, HITS))
+        parts.append(rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, HITS))
     return top_k(_union(parts, spark.createDataFrame([], HITS)), k)
 
 
