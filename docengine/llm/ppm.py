@@ -118,7 +118,7 @@ class Model:
             short = _find(self.context[k], self.context[k + 1] & _low(k))
             self.fallen.append(self._costs(total[k][short] - seen, distinct[k][short] - distinct[k + 1]))
         self.last = -np.log10(256 - len(self.leaf[0])) if len(self.leaf[0]) < 256 else 0.0
-        self._table()
+        self.slot_key: np.ndarray | None = None  # made where it is used, not sent
 
     @staticmethod
     def _costs(total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +166,8 @@ class Model:
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """The same, by the table where it has the key."""
+        if self.slot_key is None:
+            self._table()
         slot = self._slot(keys)
         out = self.slot_cost[slot].astype(np.float64)
         rest = np.flatnonzero(self.slot_key[slot] != keys)
@@ -231,14 +233,16 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return written(sums, "counts")
 
 
-def train(counts: DataFrame, order: int = ORDER) -> Model:
+def train(counted_: DataFrame, order: int = ORDER) -> Model:
     """The model of the highest order, ORDER at most, that has no more than MOST_LEAVES strings."""
-    rows = counts.where(F.col("kind") == GRAM)
+    rows = counted_.where(F.col("kind") == GRAM)
     while order > 1 and rows.count() > MOST_LEAVES:
         order -= 1
         rows = written(rows.groupBy(F.col("key").bitwiseAND(F.lit(int(_low(order + 1)))).alias("key")).agg(F.sum("n").alias("n")), "grams")
     found = rows.select("key", "n").toArrow()
-    return Model(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), order)
+    keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    del found
+    return Model(keys, counts, order)
 
 
 SCORED = "doc_id long, row long, n_tokens long, n_head long, head_score double, score double"
