@@ -66,11 +66,11 @@ def held_out(doc_id: Column, n: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, limit: int) -> DataFrame:
-    """At most `limit` labelled documents (text, label), chosen by a hash of the id.
+    """Documents of at most `limit` labelled ids (text, label), chosen by a hash of the id.
 
     The bound holds before the join, so the broadcast side never has more than `limit` rows.
     Repeated label rows of one id give the larger label; repeated documents of one id stay,
-    so `limit` bounds ids, and the rows collected are cut to `limit` again.
+    so `limit` bounds ids, and whoever collects rows cuts them to `limit` again.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull())
@@ -78,7 +78,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, limit: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(ids), "doc_id").select("text", "label").limit(limit)
+    return text.join(F.broadcast(ids), "doc_id").select("text", "label")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

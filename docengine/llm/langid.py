@@ -197,7 +197,7 @@ def sample(docs: DataFrame, limit: int = FIT_DOCS, each: int = FIT_EACH) -> tupl
                 parts = [data[i * FIT_BYTES : (i + 1) * FIT_BYTES] for i in at]
                 yield pa.RecordBatch.from_pydict({"data": pa.array(parts, pa.binary()), "lang": pa.array([lang] * len(parts), pa.string())})
 
-    rows = small_batches(known).join(F.broadcast(ids), "doc_id").limit(limit).mapInArrow(cut, "data binary, lang string").collect()
+    rows = small_batches(known).join(F.broadcast(ids), "doc_id").mapInArrow(cut, "data binary, lang string").limit(limit * each).collect()
     rows = sorted((bytes(r.data), r.lang) for r in rows)
     return [r[0] for r in rows], [r[1] for r in rows]
 

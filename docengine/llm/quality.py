@@ -29,7 +29,7 @@ def feature_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> t
             x = statistics(text_of(batch))[1]
             yield pa.RecordBatch.from_pydict({"x": pa.array([r.tobytes() for r in x], pa.binary()), "label": batch.column("label")})
 
-    found = labelled_sample(small_batches(docs), labels, "quality", limit).mapInArrow(run, "x binary, label double").toArrow()
+    found = labelled_sample(small_batches(docs), labels, "quality", limit).mapInArrow(run, "x binary, label double").limit(limit).toArrow()
     rows = sorted(zip(found["x"].to_pylist(), found["label"].to_pylist(), strict=True))  # the fit does not depend on the order of arrival
     return np.frombuffer(b"".join(r[0] for r in rows), np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], np.float64)
 
