@@ -50,7 +50,7 @@ class Encoder:
     encoded again).
     """
 
-    def __init__(self, path: str, mode: str, known: int = 300_000):
+    def __init__(self, path: str, mode: str, known: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
