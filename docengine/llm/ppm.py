@@ -6,12 +6,18 @@ escape (method C: as many escapes as distinct symbols) to the context one byte s
 of the longer context are excluded. What a symbol costs depends on its last ORDER + 1 bytes alone, so the
 costs of all seen ones are in one table; a text's score is the sum of its positions.
 
+With more than MOST_LEAVES strings only the shorter contexts are sent to the workers. The longer ones stay
+in the table of counts, dealt out by the context one byte longer than those, so that each of its groups holds
+all that its costs depend on. The costs of the commonest strings are sent, the others are joined. The scores
+are the same either way.
+
 The baseline needs the count of every word. Words that are more than one in 2 ** HEAD_BITS of all tokens
 are at most 2 ** HEAD_BITS and are sent to the workers; the others are joined with their counts.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 from docengine.llm.common import slices, small_batches, split_words, text_of, written
 
 ORDER = 5
-#: With more contexts and symbols than this the order is lowered; at order 1 there are at most 65,536.
+#: With more contexts and symbols than this the longer contexts stay in a table; UTF-8 in lower case has fewer of three bytes.
 MOST_LEAVES = 6_000_000
 HEAD_BITS = 21
 TABLE_BITS = 22
+#: Costs of strings at more than one in 2 ** NEAR_BITS of all positions, at most 2 ** NEAR_BITS, are sent where the model is not.
+NEAR_BITS = 22
 #: Counts of a worker's slices are summed before they are sent on, up to so many distinct ones.
 PENDING = 1_000_000
 #: Bytes of text at a time: each takes a hundred bytes of arrays here.
@@ -86,17 +94,36 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+
+
+def hashed(keys: np.ndarray, costs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash table's keys and costs; the commoner of two keys in one slot stays."""
+    slot = slots(keys)
+    order = np.argsort(counts, kind="stable")
+    slot_key = np.full(1 << TABLE_BITS, ~np.uint64(0))
+    slot_cost = np.zeros(1 << TABLE_BITS, np.float32)
+    slot_key[slot[order]] = keys[order]
+    slot_cost[slot[order]] = costs[order]
+    return slot_key, slot_cost
+
+
 class Model:
     """Static costs (log10) of PPM with exclusion from the counts of (order + 1)-byte strings."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, below: Model | None = None):
+        """With `below`, a lower model of all strings, keys may be those of some of the contexts one byte longer than below's."""
         self.order = order
-        self.leaf: list[np.ndarray] = []
-        self.count: list[np.ndarray] = []
-        self.context: list[np.ndarray] = []
-        self.plain: list[tuple[np.ndarray, np.ndarray]] = []
-        total, distinct, owner = [], [], []
-        for k in range(order + 1):
+        start = 0 if below is None else below.order + 1
+        self.leaf: list[np.ndarray] = list(below.leaf) if below else []
+        self.count: list[np.ndarray] = list(below.count) if below else []
+        self.context: list[np.ndarray] = list(below.context) if below else []
+        self.plain: list[tuple[np.ndarray, np.ndarray]] = list(below.plain) if below else []
+        total, distinct, owner = ([None] * start for _ in range(3))
+        if below:
+            total[-1], distinct[-1], owner[-1] = below.top
+        for k in range(start, order + 1):
             leaf, count = counted(keys & _low(k + 1), counts)
             above = leaf >> np.uint64(8)
             context, size = counted(above)
@@ -110,13 +137,14 @@ class Model:
             owner.append((place, count))
             self.plain.append(self._costs(t, size))
         #: fallen[k]: for each context of k + 1 bytes, the costs in its shorter context without its own symbols
-        self.fallen: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(order):
+        self.fallen: list[tuple[np.ndarray, np.ndarray]] = list(below.fallen) if below else []
+        for k in range(len(self.fallen), order):
             lower = _find(self.leaf[k], self.leaf[k + 1] & _low(k + 1))
             place = owner[k + 1][0]
             seen = np.bincount(place, owner[k][1][lower], len(self.context[k + 1]))
             short = _find(self.context[k], self.context[k + 1] & _low(k))
             self.fallen.append(self._costs(total[k][short] - seen, distinct[k][short] - distinct[k + 1]))
+        self.top = (total[-1], distinct[-1], (None, owner[-1][1])) if order < ORDER else None
         self.last = -np.log10(256 - len(self.leaf[0])) if len(self.leaf[0]) < 256 else 0.0
         self.slot_key: np.ndarray | None = None  # made where it is used, not sent
 
@@ -130,16 +158,7 @@ class Model:
         """A hash table of the costs of the longest strings; the commoner of two in one slot stays."""
         keys = self.leaf[-1]
         costs = np.concatenate([self.spelled(keys[i : i + 500_000]).astype(np.float32) for i in range(0, len(keys), 500_000)] or [np.zeros(0, np.float32)])
-        slot = self._slot(keys)
-        order = np.argsort(self.count[-1], kind="stable")
-        self.slot_key = np.full(1 << TABLE_BITS, ~np.uint64(0))
-        self.slot_cost = np.zeros(1 << TABLE_BITS, np.float32)
-        self.slot_key[slot[order]] = keys[order]
-        self.slot_cost[slot[order]] = costs[order]
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+        self.slot_key, self.slot_cost = hashed(keys, costs, self.count[-1])
 
     def spelled(self, keys: np.ndarray) -> np.ndarray:
         """log10 probabilities, level by level."""
@@ -168,7 +187,7 @@ class Model:
         """The same, by the table where it has the key."""
         if self.slot_key is None:
             self._table()
-        slot = self._slot(keys)
+        slot = slots(keys)
         out = self.slot_cost[slot].astype(np.float64)
         rest = np.flatnonzero(self.slot_key[slot] != keys)
         if len(rest):
@@ -234,7 +253,10 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def train(counted_: DataFrame, order: int = ORDER) -> Model:
-    """The model of the highest order, ORDER at most, that has no more than MOST_LEAVES strings."""
+    """The model of the highest order, ORDER at most, that has no more than MOST_LEAVES strings.
+
+    Where it is lower than ORDER, `longer_costs` adds the longer contexts.
+    """
     rows = counted_.where(F.col("kind") == GRAM)
     while order > 1 and rows.count() > MOST_LEAVES:
         order -= 1
@@ -245,8 +267,41 @@ def train(counted_: DataFrame, order: int = ORDER) -> Model:
     return Model(keys, counts, order)
 
 
-SCORED = "doc_id long, row long, n_tokens long, n_head long, head_score double, score double"
-TAIL = "key long, row long, n long"
+def longer_costs(counted_: DataFrame, wanted: DataFrame, lowered: Model) -> DataFrame:
+    """(key, cost) of the wanted strings (key) by the model of ORDER, of which `lowered` has the shorter contexts.
+
+    A group is a context one byte longer than lowered's, with all longer ones that end in it: few of all strings.
+    """
+    shared = counted_.sparkSession.sparkContext.broadcast(lowered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                new += batch.num_rows
+                if new < PENDING // 2:
+                    continue
+            if not held:
+                continue
+            table = pa.Table.from_batches(held)
+            group, key, n = (table.column(c).to_numpy() for c in ("group", "key", "n"))
+            # the last group may go on in the next batch
+            done = len(group) if batch is None else int(np.searchsorted(group, group[-1]))
+            held, new = table.slice(done).to_batches(), 0
+            key, n = key[:done].view(np.uint64), n[:done]
+            seen = n > 0
+            model = Model(key[seen], n[seen], ORDER, shared.value) if seen.any() else shared.value
+            asked = key[~seen]
+            yield pa.RecordBatch.from_pydict({"key": asked.view(np.int64), "cost": model.spelled(asked)})
+
+    group = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(_low(lowered.order + 1)))).alias("group")
+    rows = counted_.where(F.col("kind") == GRAM).select(group, "key", "n").unionAll(wanted.select(group, "key", F.lit(0).cast("long").alias("n")))
+    return written(rows.repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "key long, cost double"), "costs")
+
+
+SCORED = "doc_id long, row long, n_tokens long, n_head long, head_score double, n_far long, score double"
+TAIL = "kind int, key long, row long, n long"
 
 
 def score_texts(docs: DataFrame, training: Column) -> DataFrame:
@@ -269,14 +324,32 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     head = words.where(F.col("n") >= least).select("key", "n").toArrow()
     keys = head["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((model, keys[order], np.log10(head["n"].to_numpy()[order] + 1.0) - norm))
+    head_words = (keys[order], np.log10(head["n"].to_numpy()[order] + 1.0) - norm)
+    whole = model.order == ORDER
+    strings = counts.where(F.col("kind") == GRAM)
+    common: tuple | None = None
+    if not whole:
+        often = (strings.agg(F.sum("n")).first()[0] >> NEAR_BITS) + 1
+        found = strings.where(F.col("n") >= often).select("key", "n").toArrow()
+        common = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        del found
+        common_keys = hashed(common[0], np.zeros(len(common[0]), np.float32), common[1])[0]
+    tail_shared = spark.sparkContext.broadcast((head_words[0], None if whole else common_keys))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, head_keys, head_cost = shared.value
         for batch in slices(batches, size=SLICE):
             texts = _lowered(batch)
-            key, bounds = grams(texts, model.order)
-            score = np.add.reduceat(model.score(key), bounds[:-1]) if len(key) else np.zeros(0)
+            key, bounds = grams(texts)
+            n_near = np.diff(bounds)
+            if whole:
+                cost = model.score(key)
+            else:
+                slot = slots(key)
+                near = model[0][slot] == key
+                cost = np.where(near, model[1][slot], 0.0).astype(np.float64)
+                n_near = np.add.reduceat(near.astype(np.int64), bounds[:-1]) if len(key) else np.zeros(0, np.int64)
+            score = np.add.reduceat(cost, bounds[:-1]) if len(key) else np.zeros(0)
             hashes, code, w_bounds = _words(texts)
             place = _find(head_keys, hashes)
             cost = np.where(place >= 0, head_cost[place], 0.0) if len(head_cost) else np.zeros(len(hashes))
@@ -284,21 +357,40 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
             known = np.concatenate([[0], np.cumsum(place[code] >= 0)])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_tokens": np.diff(w_bounds) + 1, "n_head": known[w_bounds[1:]] - known[w_bounds[:-1]],
-                "head_score": sums[w_bounds[1:]] - sums[w_bounds[:-1]], "score": score,
+                "head_score": sums[w_bounds[1:]] - sums[w_bounds[:-1]], "n_far": np.diff(bounds) - n_near, "score": score,
             })
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, head_keys, _ = shared.value
+        head_keys, near_keys = tail_shared.value
         for batch in slices(batches, size=SLICE):
-            hashes, code, bounds = _words(_lowered(batch))
+            texts = _lowered(batch)
+            hashes, code, bounds = _words(texts)
             rare = (_find(head_keys, hashes) < 0)[code]
-            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[rare]
-            pair, n = counted(text.astype(np.uint64) << np.uint64(32) | code[rare].astype(np.uint64))
-            yield pa.RecordBatch.from_pydict({"key": hashes[pair & _low(4)].view(np.int64), "row": batch.column("row").to_numpy()[(pair >> np.uint64(32)).astype(np.int64)], "n": n})
+            yield tail_rows(WORD, batch, hashes, code[rare], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[rare])
+            if near_keys is not None:
+                key, bounds = grams(texts)
+                far = near_keys[slots(key)] != key
+                names, place = np.unique(key[far], return_inverse=True)
+                yield tail_rows(GRAM, batch, names, place, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[far])
+
+    def tail_rows(kind: int, batch: pa.RecordBatch, names: np.ndarray, code: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+        pair, n = counted(text.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64))
+        row = batch.column("row").to_numpy()[(pair >> np.uint64(32)).astype(np.int64)]
+        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(n), kind, np.int32)), "key": names[pair & _low(4)].view(np.int64), "row": row, "n": n})
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    tails = named.select("text", "row").mapInArrow(tail, TAIL)
+    if not whole:
+        tails = written(tails, "tails")
+        far = tails.where(F.col("kind") == GRAM)
+        asked = far.select("key").unionAll(strings.where(F.col("n") >= often).select("key")).distinct()
+        costs = longer_costs(counts, asked, model)
+        best = strings.where(F.col("n") >= often).select("key", "n").join(costs, "key").toArrow()
+        model = hashed(best["key"].to_numpy().view(np.uint64), best["cost"].to_numpy(), best["n"].to_numpy())
+        del best
+    shared = spark.sparkContext.broadcast((model, *head_words))
     scored = named.mapInArrow(rows, SCORED)
-    rare = named.select("text", "row").mapInArrow(tail, TAIL)
+    rare = tails.where(F.col("kind") == WORD)
     known = words.where(F.col("n") < least).select("key", F.col("n").alias("c"))
     found = rare.join(known, "key", "left").groupBy("row").agg(
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - norm)).alias("tail_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"), F.sum("n").alias("n_rare")
@@ -306,6 +398,10 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     # equal rows share `row`: what was summed over them is divided by how many there were
     times = F.col("n_rare") / (F.col("n_tokens") - 1 - F.col("n_head"))
     joined = scored.join(found, "row", "left")
+    if not whole:
+        sums = far.join(costs, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("far_score"), F.sum("n").alias("n_all_far"))
+        joined = joined.join(sums, "row", "left")
+        joined = joined.withColumn("score", F.col("score") + F.coalesce(F.col("far_score") * F.col("n_far") / F.col("n_all_far"), F.lit(0.0)))
     return joined.select(
         "doc_id", "n_tokens", (F.col("n_head") + F.coalesce((F.col("n_tail") / times).cast("long"), F.lit(0)) + end_known).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("head_score") + F.coalesce(F.col("tail_score") / times, F.lit(0.0)) + end_score).alias("base_score"), "score",

@@ -109,3 +109,32 @@ def test_empty_and_lower_order(spark, monkeypatch):
     monkeypatch.setattr(ppm, "MOST_LEAVES", 60)
     model = ppm.train(ppm.corpus_counts(docs))
     assert model.order < ppm.ORDER and np.allclose(model.spelled(np.arange(97, 110, dtype=np.uint64)), built(TEXTS, model.order).spelled(np.arange(97, 110, dtype=np.uint64)))
+
+
+@pytest.mark.parametrize("bits", [22, 4])
+def test_scores_do_not_depend_on_the_number_of_strings(spark, odd_docs, monkeypatch, bits):
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate([*TEXTS, "zzyzx unseen", "the catalogue"] * 3)], "doc_id long, text string"))
+    fold = ~held_out(F.col("doc_id"), 7, 2)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score, r.score)
+    want = sorted(score_texts(docs, fold).collect(), key=key)
+    monkeypatch.setattr(ppm, "MOST_LEAVES", 60)
+    monkeypatch.setattr(ppm, "NEAR_BITS", bits)
+    monkeypatch.setattr(ppm, "HEAD_BITS", bits)
+    got = sorted(score_texts(docs, fold).collect(), key=key)
+    assert ppm.train(ppm.corpus_counts(docs)).order < ppm.ORDER and len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known) and a.base_score == pytest.approx(b.base_score, abs=1e-6)
+        assert a.score == pytest.approx(b.score, rel=1e-5), a
+
+
+def test_groups_with_a_lower_model():
+    """Levels built from one group after another cost what the whole model costs."""
+    keys, counts = counted(grams(pa.array([t.lower() for t in TEXTS], pa.large_string()), ppm.ORDER)[0])
+    whole = Model(keys, counts)
+    for order in (1, 2, 4):
+        low = Model(*counted(keys & ppm._low(order + 1), counts), order)
+        group = (keys >> np.uint64(8)) & ppm._low(order + 1)
+        for g in np.unique(group):
+            part = Model(keys[group == g], counts[group == g], ppm.ORDER, low)
+            asked = np.unique(np.concatenate([keys[group == g], keys[group == g] ^ np.uint64(3), keys[group == g] ^ np.uint64(1 << 40)]))
+            assert np.allclose(part.spelled(asked), whole.spelled(asked), atol=1e-5)
