@@ -7,10 +7,10 @@ labelled k-mers in order within a band: the k-mers in order in both, over all k-
 SIMILARITY. Classes are the connected components of verified pairs; documents with the same words are one
 node from the start.
 
-Candidates are stars, not all pairs: in each bucket every node is compared with one of its nodes, another
-in each bucket, which already joins most classes. In buckets that still hold several classes each node is
-then compared with the nodes of other classes that agree with it in most sketches; larger buckets are
-first split by the next sketches. That is repeated as long as it finds links.
+Candidates are stars first: in each bucket every node is compared with one of its nodes, another in each
+bucket, which already joins most classes. In buckets that still hold several classes all pairs of nodes of
+different classes that agree in AGREE sketches are then verified. Larger buckets are cut into blocks, and
+every block is compared with every other one.
 """
 
 from __future__ import annotations
@@ -35,11 +35,12 @@ SIMILARITY = 0.8
 #: Two documents of similarity 0.8 miss all sketches with a probability of about (1 - 0.8 ** KEPT) ** SKETCHES = 5e-8.
 SKETCHES = 32
 KEPT = 4
-#: Inside a bucket a node is compared with so many nodes of other classes, if they agree in AGREE sketches.
-PARTNERS = 2
+#: Nodes of different classes in one bucket are compared if they agree in AGREE sketches.
 AGREE = 3
-#: Buckets with more rows are split by the next sketch before that.
+#: Buckets with more rows are cut into blocks of about so many.
 INSIDE = 500
+#: Pairs are verified so many at a time; those whose ends are in one class by then need no look.
+PAIRS = 1_000_000
 #: A side of a join is broadcast up to so many rows of a few dozen bytes, and shuffled beyond.
 BROADCAST_ROWS = 400_000
 
@@ -217,41 +218,69 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(_side(written(several, "several")), "key"), "mixed")
 
 
-def _likeliest(nodes: np.ndarray, label: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs: each node of one bucket with its PARTNERS likeliest nodes of other classes."""
-    agree = np.zeros((len(nodes), len(nodes)), np.int32)
-    for k in range(keys.shape[1]):
-        agree += keys[:, k, None] == keys[None, :, k]
-    agree[label[:, None] == label[None, :]] = 0
-    best = np.argsort(-agree, axis=1, kind="stable")[:, :PARTNERS]
-    i = np.repeat(np.arange(len(nodes)), best.shape[1])
-    j = best.reshape(-1)
-    good = agree[i, j] >= AGREE
-    return i[good], j[good]
+def _agreeing(left: tuple, right: tuple, last: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of nodes (node, label, n_kmers, keys) of different classes that agree in AGREE sketches and may
+    be similar by their lengths. A pair counts in the bucket of the first sketch it agrees in alone."""
+    agree = np.zeros((len(left[0]), len(right[0])), np.int32)
+    for k in range(SKETCHES):
+        if k == last:
+            first = agree == 0
+        agree += left[3][:, k, None] == right[3][None, :, k]
+    a, b = left[2][:, None], right[2][None, :]
+    good = first & (agree >= AGREE) & (left[1][:, None] != right[1][None, :]) & (np.minimum(a, b) >= SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
+    return np.nonzero(np.triu(good, 1) if same else good)
 
 
-def _partners(rows: DataFrame) -> DataFrame:
-    """Pairs of the nodes of small buckets (key, node, label, keys) with their likeliest nodes of other classes in the bucket."""
+def _blocks(large: DataFrame) -> DataFrame:
+    """The rows of large buckets, once for each pair of blocks to compare (key) and with their side of it.
+
+    A class of more than INSIDE rows has its own blocks, which need not be compared with one another.
+    """
+    sizes = written(large.groupBy("key", "label").agg(F.count("*").alias("own")), "sizes")
+    n_own, n_all = (F.ceil(F.col(c) / INSIDE) for c in ("own", "size"))
+    big = F.col("own") > INSIDE
+    block = F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("node"), n_own))).otherwise(F.pmod(F.xxhash64("label"), n_all))
+    rows = written(large.join(_side(sizes), ["key", "label"]).withColumn("block", block).withColumn("of", F.when(big, F.col("label"))).drop("own"), "blocks")
+    each = written(rows.select("key", "block", "of").distinct(), "each")
+    other = each.select("key", F.col("block").alias("b"), F.col("of").alias("b_of"))
+    pairs = each.join(other, "key").where("block <= b and not coalesce(of = b_of, false)").select("key", F.col("block").alias("a"), "b", F.xxhash64("key", "block", "b").alias("pair"))
+    sides = pairs.select("key", F.col("a").alias("block"), "pair", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))
+    sides = sides.unionAll(pairs.where("a != b").select("key", F.col("b").alias("block"), "pair", F.lit(2).alias("side")))
+    return rows.join(written(sides, "sides"), ["key", "block"]).drop("key").withColumnRenamed("pair", "key")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """All pairs (u, v) of nodes of different classes in one bucket that agree in AGREE sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last bucket of a batch may go on in the next, up to INSIDE rows
+        held: pa.Table | None = None  # the last bucket of a batch may go on in the next
         for batch in itertools.chain(batches, [None]):
             table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
-            key, nodes, label = (table.column(c).to_numpy() for c in ("key", "node", "label"))
-            sketched = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+            key, side, last, *columns = (table.column(c).to_numpy() for c in ("key", "side", "last", "node", "label", "n_kmers"))
+            columns.append(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES))
             cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             done = len(cuts) - 1 if batch is None else len(cuts) - 2
             held = None if batch is None else table.slice(int(cuts[done]))
-            pairs = [np.zeros((2, 0), np.int64)]
             for a, b in zip(cuts[:done].tolist(), cuts[1 : done + 1].tolist(), strict=True):
-                i, j = _likeliest(nodes[a:b], label[a:b], sketched[a:b])
-                pairs.append(np.stack([np.minimum(nodes[a + i], nodes[a + j]), np.maximum(nodes[a + i], nodes[a + j])]))
-            u, v = np.unique(np.concatenate(pairs, 1), axis=1)
-            yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+                same = side[a] == 0
+                left, right = (tuple(c[a:b][side[a:b] == k] for c in columns) for k in ((0, 0) if same else (1, 2)))
+                i, j = _agreeing(left, right, int(last[a]), same)
+                u, v = left[0][i], right[0][j]
+                yield pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    chosen = ("key", "side", "last", "node", "label", "n_kmers", "keys")
+    small = rows.where(F.col("size") <= INSIDE).withColumn("side", F.lit(0)).select(*chosen)
+    large = rows.where(F.col("size") > INSIDE)
+    if large.take(1):
+        small = small.unionAll(_blocks(large).select(*chosen))
+    return small.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(run, "u long, v long")
+
 
-    return rows.select("key", "node", "label", "keys").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
+def _first(pairs: DataFrame) -> DataFrame:
+    """A pair or two of each node."""
+    return pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionAll(pairs.groupBy("u").agg(F.max("v").alias("v"))).distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -273,34 +302,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bodies = _bodies(docs, written(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "candidates"))
 
     # a pair or two of each node first; the others need no look where their ends are in one class by then
-    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionAll(pairs.groupBy("u").agg(F.max("v").alias("v"))).distinct()
+    first = _first(pairs)
     edges = _verified(first, bodies)
     labels = _classes_of(edges)
     edges, labels, _ = _more(pairs, edges, labels, bodies)
 
     mixed = _mixed(rows.select("key", "last", "node"), labels)
-    mixed = written(nodes.select("node", "keys").join(_side(mixed), "node"), "mixed")  # once: the keys stay with the rows from here
-    while mixed.take(1):
-        small = [mixed.where(F.col("size") <= INSIDE)]
-        large = mixed.where(F.col("size") > INSIDE)
-        for _ in range(SKETCHES - 1):
-            if not large.take(1):
-                break
-            after = F.element_at("keys", (F.pmod(F.col("last") + 1, F.lit(SKETCHES)) + 1).cast("int"))
-            split = large.select(F.xxhash64("key", after).alias("key"), (F.col("last") + 1).alias("last"), "node", "keys")
-            part = _mixed(split, labels)
-            small.append(part.where(F.col("size") <= INSIDE))
-            large = part.where(F.col("size") > INSIDE)
-        tried = small[0]
-        for part in small[1:]:
-            tried = tried.unionByName(part)
-        edges, labels, found = _more(_partners(tried), edges, labels, bodies)
-        if not found:
-            break
-        # where no node's class has changed, the same nodes would be compared again
-        last, mixed = mixed.select("key", "node", F.col("label").alias("before")), _mixed(mixed.drop("label", "size"), labels)
-        changed = mixed.join(last, ["key", "node"]).where("label != before").select("key").distinct()
-        mixed = written(mixed.join(changed, "key", "left_semi"), "mixed")
+    if mixed.take(1):
+        pairs = written(_candidates(nodes.select("node", "n_kmers", "keys").join(_side(mixed), "node")), "pairs")
+        edges, labels, _ = _more(_first(pairs), edges, labels, bodies)
+        parts = -(-pairs.count() // PAIRS)
+        for part in range(parts):
+            edges, labels, _ = _more(pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == part), edges, labels, bodies)
     named = nodes.select("node", "doc_id", "n_copies").join(labels, "node", "left")
     return members.select("doc_id", "node"), written(named.withColumn("label", F.coalesce("label", "node")), "classes")
 

@@ -115,3 +115,27 @@ def test_keep_one(spark, odd_docs, monkeypatch):
     assert sorted(str(r.doc_id) for r in odd) == ["1", "4", "6", "7", "None"]
     assert keep_one(docs.limit(0)).count() == 0 and near_duplicates(docs.limit(0)).count() == 0
     assert near_duplicates(odd_docs).count() == 9
+
+
+def form_letters(seed, n=48, changed=8, places=88):
+    """Texts of one template with changed words: pairs with ten differing places are at 0.8, with twelve at 0.76."""
+    rng = np.random.default_rng(seed)
+    template = [f"w{i}" for i in range(454)]
+    texts = []
+    for _ in range(n):
+        copy = list(template)
+        for at in rng.choice(places, changed, replace=False):
+            copy[5 * at + 7] = f"x{at}"
+        texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("inside", [500, 7])
+def test_form_letters_equal_brute_force(spark, monkeypatch, inside):
+    """Many texts just below the threshold hide none that reaches it, in whole buckets and in blocks of hot ones."""
+    monkeypatch.setattr(neardup, "INSIDE", inside)
+    monkeypatch.setattr(neardup, "PAIRS", 100)
+    rows = form_letters(1)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert 1 < len(set(want.values())) < len(rows) and got == want
