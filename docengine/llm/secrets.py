@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]+")
 #: A credential is named, then a separator, then a value: what the guess cost is applied to.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|login)"""
-    r"""["']?(?:[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}|[ \t]+is[ \t]+|(?<=earer)[ \t]+)(?:"([^"\n]{6,128})"|'([^'\n]{6,128})'|([^\s"'<>,;]{6,128}))""",
+    r"""["']?(?:[ \t]*(?::=|=>|[:=])[ \t]*|[ \t]+is[ \t]+|(?<=earer)[ \t]+)(?:(?:bearer|basic)[ \t]+)?(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))""",
     re.I | re.A,
 )
 #: Cheap tests that every text with a match passes.

@@ -56,3 +56,14 @@ def test_scan_and_redact(spark, odd_docs):
     assert clean[99].text is None and redact(docs).columns == docs.columns
     assert digest(scan(odd_docs)).count() == 9 and redact(odd_docs).count() == 9
     assert digest(scan(docs.limit(0))).count() == 0 and redact(docs.limit(0)).count() == 0
+
+
+LONG = "".join(hashlib.sha256(bytes([i])).hexdigest().upper()[:31] + "!" for i in range(10))[:-1]
+
+
+@pytest.mark.parametrize("text", ["see pwd={} end", 'private_key="{}" end', "pwd: '{}' end", "Authorization: Bearer {} end", "authorization:Basic {} end", "passphrase      =\t     {} end"])
+@pytest.mark.parametrize("value", [LONG, LONG[:40]])
+def test_whole_values(text, value):
+    start = text.index("{}")
+    found = [(a, b) for a, b, k in spans(text.format(value)) if k == "guess"]
+    assert found == [(start, start + len(value))]
