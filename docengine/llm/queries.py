@@ -29,7 +29,7 @@ def tokenizer(name: str) -> str:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm.secrets import digest, scan
 
-    return digest(scan(table(spark, sf_dir, "documents")))
+    return digest(scan(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
 @query

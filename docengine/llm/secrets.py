@@ -7,11 +7,13 @@ a run of consecutive characters, or brute force. Values that cost STRONG or more
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ MAY_HEX = "[0-9a-f]{24}"
 STRONG = 8.0
 #: A run of letters that could be a word, but is not listed, costs as much as one of so many words.
 UNLISTED = 5.0
-#: Cuts are searched in so many characters of a value; brute force is counted for the others.
-SEARCHED = 1024
+#: No span but a whole repeated value has more characters.
+WIDEST = 40
+#: What it adds to a guess to find where a span within a value begins.
+JOINT = 0.3
 KINDS = ("assign", "access", "hex", "guess")
 
 # fixed values: common words of passwords, most common first
@@ -50,11 +54,11 @@ WORDS = (
     "friday pass access token key server system company the and for you your please example sample demo string none null true "
     "false value enter here insert placeholder redacted hidden unknown undefined required optional public private"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 # fixed values: rows of a keyboard
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("4301$@57!", "aeoisasti")
-DATE = re.compile(r"(?:(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)$")
+VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïðñòóôõöøùúûüýÿ")
+DATE = re.compile(r"(?:(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
 def _neighbours() -> dict[str, frozenset[str]]:
@@ -71,76 +75,120 @@ NEAR = _neighbours()
 KEY_AT = {key: (x, y) for y, row in enumerate(ROWS) for x, key in enumerate(row)}
 
 
-def _word(s: str) -> float:
-    """Cost of s as one word, infinite if it is none."""
-    low = s.lower()
-    case = 0.0 if s == low else 0.3 if s in (low.capitalize(), low.upper()) else 1.0
-    if low in RANK:
-        return math.log10(RANK[low] + 1) + case
+@lru_cache(maxsize=4)
+def ranks(vocabulary: str | None = None) -> dict[str, int]:
+    """Words and their ranks: WORDS, then the whole words of a tokenizer file, in its order, which is by frequency."""
+    words = dict.fromkeys(WORDS)
+    if vocabulary:
+        entries = json.loads(Path(vocabulary).read_text(encoding="utf-8"))["model"]["vocab"]
+        words |= dict.fromkeys(w.removesuffix("</w>") for w in sorted(entries, key=entries.get) if w.endswith("</w>") and len(w) > 6 and w[:-4].isascii() and w[:-4].isalpha())
+    return {w: i + 1 for i, w in enumerate(words)}
+
+
+def _words(value: str, rank: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+    """Spans that are words: listed ones, also with digits and signs for letters, and runs of letters that could be words."""
+    low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
     plain = low.translate(LEET)
-    if plain != low and plain in RANK:
-        return math.log10(RANK[plain] + 1) + case + 0.5
-    wordlike = len(s) >= 3 and low.isalpha() and case < 1 and re.search("[aeiouyà-ÿ]", low) and not re.search("[^aeiouyà-ÿ]{6}", low)
-    return UNLISTED + case if wordlike else math.inf
-
-
-def _walk(s: str) -> float:
-    low = s.lower()
-    if len(s) < 3:
-        return math.inf
-    steps = [ord(b) - ord(a) for a, b in zip(low, low[1:], strict=False)]
-    if steps[0] in (-1, 1) and all(x == steps[0] for x in steps):
-        return 1.5 + math.log10(len(s))
-    if all(b in NEAR.get(a, ()) for a, b in zip(low, low[1:], strict=False)):
-        moves = [(KEY_AT[b][0] - KEY_AT[a][0], KEY_AT[b][1] - KEY_AT[a][1]) for a, b in zip(low, low[1:], strict=False)]
-        turns = sum(x != y for x, y in zip(moves, moves[1:], strict=False))
-        return 1.6 + math.log10(len(s)) + 0.65 * turns
-    return math.inf
-
-
-def _repeat(s: str) -> float:
-    for n in range(1, len(s) // 2 + 1):
-        if len(s) % n == 0 and s == s[:n] * (len(s) // n):
-            return guess_cost(s[:n]) + math.log10(len(s) // n)
-    return math.inf
-
-
-def _brute(s: str) -> float:
-    hexlike = all(c in "0123456789abcdef" for c in s)
+    upper = list(accumulate((a != b for a, b in zip(value, low, strict=True)), initial=0))
+    for start in range(len(value)):
+        letters, vowel, hard = True, False, 0
+        for end in range(start + 1, min(len(value), start + WIDEST) + 1):
+            c = low[end - 1]
+            letters = letters and c.isalpha()
+            vowel = vowel or c in VOWELS
+            hard = 0 if c in VOWELS else hard + 1
+            letters = letters and hard < 6
+            n, size = upper[end] - upper[start], end - start
+            case = 0.0 if not n else 0.3 if n == size or (n == 1 and value[start] != low[start]) else 1.0
+            cost = math.inf
+            if (word := low[start:end]) in rank:
+                cost = math.log10(rank[word] + 1) + case
+            elif (word := plain[start:end]) in rank:
+                cost = math.log10(rank[word] + 1) + case + 0.5
+            if letters and vowel and size >= 3 and case < 1:
+                cost = min(cost, UNLISTED + case)
+            if cost < math.inf:
+                yield start, end, cost
+
+
+def _walks(value: str) -> Iterator[tuple[int, int, float]]:
+    """Spans of consecutive characters, and walks over neighbouring keys, which cost more with each turn."""
+    low = value.lower() if value.isascii() else "".join(c.lower() if c.isascii() else c for c in value)
+    for start in range(len(value) - 1):
+        step = ord(low[start + 1]) - ord(low[start])
+        runs, turns, last = step in (-1, 1), 0, None
+        walks = True
+        for at in range(start + 1, min(len(value), start + WIDEST)):
+            runs = runs and ord(low[at]) - ord(low[at - 1]) == step
+            walks = walks and low[at] in NEAR.get(low[at - 1], ())
+            if walks:
+                move = tuple(b - a for a, b in zip(KEY_AT[low[at - 1]], KEY_AT[low[at]], strict=True))
+                turns, last = turns + (last not in (None, move)), move
+            if not runs and not walks:
+                break
+            size = at - start + 1
+            if size >= 3:
+                yield start, at + 1, math.log10(size) + min(1.5 if runs else math.inf, 1.6 + 0.65 * turns if walks else math.inf)
+
+
+def _repeats(value: str, vocabulary: str | None) -> Iterator[tuple[int, int, float]]:
+    """Spans of a shorter part two times or more: the part's cost and the number of times."""
+    for size in range(1, min(WIDEST, len(value)) // 2 + 1):
+        same = 0  # characters from here on that equal the one `size` places later
+        for start in range(len(value) - size - 1, -1, -1):
+            same = same + 1 if value[start] == value[start + size] else 0
+            times = min(same // size + 1, WIDEST // size)
+            if times > 1:
+                cost = guess_cost(value[start : start + size], vocabulary)
+                for n in range(2, times + 1):
+                    yield start, start + n * size, cost + math.log10(n)
+
+
+def _dates(value: str) -> Iterator[tuple[int, int, float]]:
+    for start in range(len(value)):
+        if value[start] in "0123":
+            for size, cost in ((4, 2.1), (8, 4.0), (10, 4.0)):
+                if start + size <= len(value) and DATE.fullmatch(value, start, start + size):
+                    yield start, start + size, cost
+
+
+def _brute(value: str) -> float:
+    """Brute force guesses over the kinds of characters that the value has."""
+    hexlike = all(c in "0123456789abcdef" for c in value)
     size = 0
     for test, n in ((str.isdigit, 10), (str.islower, 6 if hexlike else 26), (str.isupper, 26)):
-        size += n if any(map(test, s)) else 0
-    size += 33 if any(not c.isalnum() for c in s) else 0
-    return len(s) * math.log10(max(size, 10))
+        size += n if any(map(test, value)) else 0
+    size += 33 if any(not c.isalnum() for c in value) else 0
+    return len(value) * math.log10(max(size, 10))
+
 
+def pattern_spans(value: str, vocabulary: str | None = None) -> Iterator[tuple[int, int, float]]:
+    """(start, end, cost) of every span of WIDEST characters or less that is a word, a walk, a repeat or a date."""
+    return chain(_words(value, ranks(vocabulary)), _walks(value), _repeats(value, vocabulary), _dates(value))
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str, widest: int = 40) -> float:
-    """Least log10 guesses over all cuts of value into spans of at most `widest` characters.
 
-    Brute-force spans are extended character by character, so a longer one is covered too. A value that
-    repeats one part throughout costs that part and the count, whatever its length.
+@lru_cache(maxsize=8192)
+def guess_cost(value: str, vocabulary: str | None = None) -> float:
+    """Least log10 guesses over all cuts of the whole value into spans of at most WIDEST characters.
+
+    Brute force is counted character by character, so a longer span of it is covered too. A longer value that
+    repeats one part throughout costs that part and the count. Time grows with the value's length.
     """
-    if len(value) > widest and (period := (value + value).find(value, 1)) < len(value):
-        return guess_cost(value[:period]) + math.log10(len(value) // period)
-    each = _brute(value) / max(len(value), 1)  # brute force guesses over the characters of the whole value
-    beyond = each * max(0, len(value) - SEARCHED)
-    value = value[:SEARCHED]
-    n = len(value)
-    best = [0.0] + [math.inf] * n
-    for end in range(1, n + 1):
-        best[end] = best[end - 1] + each
-        for start in range(max(0, end - widest), end - 1):
-            span = value[start:end]
-            cost = min(_word(span), _walk(span), _repeat(span))
-            if end - start >= 4 and DATE.match(span):
-                cost = min(cost, 4.0 if end - start > 4 else 2.1)
-            # joining one more span also takes guessing where it ends
-            best[end] = min(best[end], best[start] + cost + (0.3 if start else 0.0))
-    return best[n] + beyond
-
-
-def spans(text: str, name: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, int, str]]:
+    if len(value) > WIDEST and (period := (value + value).find(value, 1)) < len(value):
+        return guess_cost(value[:period], vocabulary) + math.log10(len(value) // period)
+    each = _brute(value) / max(len(value), 1)  # over the characters of the whole value
+    by_end: dict[int, dict[int, float]] = {}
+    for start, end, cost in pattern_spans(value, vocabulary):
+        starts = by_end.setdefault(end, {})
+        starts[start] = min(cost, starts.get(start, math.inf))
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        cuts = (best[start] + cost + (JOINT if start else 0.0) for start, cost in by_end.get(end, {}).items())
+        best.append(min(best[-1] + each, min(cuts, default=math.inf)))
+    return best[-1]
+
+
+def spans(text: str, name: bool = True, access: bool = True, hexes: bool = True, vocabulary: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind; code points, end exclusive. The flags skip kinds known to be absent."""
     found: list[tuple[int, int, str]] = []
     if name:
@@ -157,7 +205,7 @@ def spans(text: str, name: bool = True, access: bool = True, hexes: bool = True)
                 end = start + len(m[3].rstrip(".,;:!?)"))
                 if not re.search("[:=]", text[m.start() : start]) and not re.search("[0-9]", m[3]):
                     continue  # prose after "is" or "bearer"
-            if end - start >= 6 and not any(a <= start and end <= b for a, b, _ in base) and guess_cost(text[start:end]) >= STRONG:
+            if end - start >= 6 and not any(a <= start and end <= b for a, b, _ in base) and guess_cost(text[start:end], vocabulary) >= STRONG:
                 found.append((start, end, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -166,29 +214,31 @@ def _flags(texts: pa.Array) -> list[np.ndarray]:
     return [m.to_numpy(zero_copy_only=False) for m in (pc.match_substring_regex(texts, MAY_NAME), pc.match_substring(texts, "AKIA"), pc.match_substring_regex(texts, MAY_HEX))]
 
 
-def _all_spans(texts: pa.Array) -> list[list[tuple[int, int, str]]]:
+def _all_spans(texts: pa.Array, vocabulary: str | None) -> list[list[tuple[int, int, str]]]:
     flags = _flags(texts)
     out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
     for i in np.flatnonzero(np.logical_or.reduce(flags)).tolist():
-        out[i] = spans(texts[i].as_py(), *(bool(f[i]) for f in flags))
+        out[i] = spans(texts[i].as_py(), *(bool(f[i]) for f in flags), vocabulary)
     return out
 
 
 SPANS = "doc_id long, spans array<struct<start: long, end: long, kind: string>>, strongest double"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """All spans of each document (doc_id, text), and the guess cost of its strongest credential value.
 
-    Null text counts as empty: no spans. Repeated rows give a row each.
+    vocabulary is the path, on every worker, of a tokenizer file whose words are the dictionary. Null and empty
+    texts have no spans and a null cost. Repeated rows give a row each. Spans that begin together are ordered
+    as in KINDS.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in slices(batches):
             texts = text_of(batch)
-            found = _all_spans(texts)
-            cost = [max((guess_cost(_value(texts[i].as_py()[a:b], k)) for a, b, k in f), default=None) if f else None for i, f in enumerate(found)]
+            found = _all_spans(texts, vocabulary)
+            cost = [max((guess_cost(_value(texts[i].as_py()[a:b], k), vocabulary) for a, b, k in f), default=None) if f else None for i, f in enumerate(found)]
             rows = [[{"start": a, "end": b, "kind": k} for a, b, k in f] for f in found]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "spans": pa.array(rows, kind), "strongest": pa.array(cost, pa.float64())})
 
@@ -212,14 +262,18 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("guess"), "strongest")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with each secret span replaced by mark; n_chars follows the new text. Other columns stay."""
+def redact(docs: DataFrame, vocabulary: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """The documents with each secret span replaced by mark; n_chars follows the new text. Other columns stay.
+
+    Spans that overlap are replaced together. A null text or n_chars stays null, a text without spans stays as
+    it is; rows are neither dropped nor merged.
+    """
     schema = docs.schema
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = _all_spans(text_of(batch))
+            found = _all_spans(text_of(batch), vocabulary)
             hit = [i for i, f in enumerate(found) if f]
             if hit:
                 texts = batch.column(place).to_pylist()

@@ -1,9 +1,14 @@
 import hashlib
+import itertools
+import math
+import random
 import re
+import time
 
 import pytest
 
 from docengine.llm import secrets
+from docengine.llm.queries import tokenizer
 from docengine.llm.secrets import digest, guess_cost, redact, scan, spans
 
 
@@ -27,6 +32,61 @@ def test_base(text):
     assert [s for s in spans(text) if s[2] != "guess"] == brute(text)
 
 
+def plain_span(span, words):
+    """The least cost of one span as a pattern, each kind written out."""
+    low, out = span.lower(), [math.inf]
+    capitals = sum(c.isupper() for c in span)
+    case = 0 if not capitals else 0.3 if capitals == len(span) or (capitals == 1 and span[0].isupper()) else 1
+    leet = "".join(dict(zip("4301$@57!", "aeoisasti", strict=True)).get(c, c) for c in low)
+    if low in words:
+        out.append(math.log10(words.index(low) + 2) + case)
+    elif leet in words:
+        out.append(math.log10(words.index(leet) + 2) + case + 0.5)
+    if len(span) >= 3 and span.isalpha() and case < 1 and re.search("[aeiouy]", low) and not re.search("[^aeiouy]{6}", low):
+        out.append(5 + case)
+    steps = {ord(b) - ord(a) for a, b in itertools.pairwise(low)}
+    if len(span) >= 3 and steps in ({1}, {-1}):
+        out.append(1.5 + math.log10(len(span)))
+    keys = {k: (x, y) for y, row in enumerate(("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")) for x, k in enumerate(row)}
+    if len(span) >= 3 and all(c in keys for c in low):
+        moves = [(keys[b][0] - keys[a][0], keys[b][1] - keys[a][1]) for a, b in itertools.pairwise(low)]
+        if all(max(abs(x), abs(y)) == 1 for x, y in moves):
+            out.append(1.6 + math.log10(len(span)) + 0.65 * sum(a != b for a, b in itertools.pairwise(moves)))
+    for n in range(1, len(span)):
+        if len(span) % n == 0 and span == span[:n] * (len(span) // n):
+            out.append(plain_cost(span[:n], words) + math.log10(len(span) // n))
+    if re.fullmatch(r"(19|20)\d\d", span):
+        out.append(2.1)
+    if re.fullmatch(r"(19|20)\d\d([-/.]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])([-/.]?)(0[1-9]|1[0-2])\5(19|20)\d\d", span):
+        out.append(4)
+    return min(out)
+
+
+def plain_cost(value, words):
+    """The least sum over every way of cutting the value."""
+    size = 10 * any(c.isdigit() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
+    size += (6 if all(c in "0123456789abcdef" for c in value) else 26) * any(c.islower() for c in value)
+    each, n, least = math.log10(max(size, 10)), len(value), math.inf
+    for bits in itertools.product((0, 1), repeat=max(0, n - 1)):
+        cuts = [0, *(i + 1 for i, b in enumerate(bits) if b), n]
+        total = 0.0
+        for a, b in itertools.pairwise(cuts):
+            joint = 0.3 if a else 0
+            total += min(plain_span(value[a:b], words) + joint, each if b - a == 1 else math.inf)
+        least = min(least, total)
+    return least if n else 0.0
+
+
+@pytest.mark.parametrize("alphabet", ["ab1", "qwe4rty", "1980-/", "monkeyMON0", "abcXYZ!9", "pas5w0rd"])
+def test_cost_is_the_least_over_all_cuts(alphabet):
+    rng, words = random.Random(alphabet), list(secrets.ranks())
+    for _ in range(12):
+        value = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 9)))
+        assert guess_cost(value) == pytest.approx(plain_cost(value, words)), value
+    for value in ("monkey1", "P4ssword", "19991231", "31-12-1999"[:9], "abcabc", "qwertz", "dr4gon88"):
+        assert guess_cost(value) == pytest.approx(plain_cost(value, words)), value
+
+
 def test_guesses():
     assert guess_cost("password") < 1 < guess_cost("Password1999") < 6
     assert guess_cost("qwertyuiop") < 4 and guess_cost("abcdefgh") < 4 and guess_cost("ab" * 30) < 5 and guess_cost("20240131") <= 5
@@ -35,6 +95,22 @@ def test_guesses():
         assert guess_cost(a + b) <= guess_cost(a) + secrets._brute(a + b) / len(a + b) * len(b) + 0.31
 
 
+def test_words_of_a_public_vocabulary():
+    words = tokenizer("word_bpe_49k.json")
+    rank = secrets.ranks(words)
+    assert len(rank) > 20_000 and rank["password"] == 1 and rank["flower"] < rank["sunflower"]
+    assert guess_cost("sunflower", words) == pytest.approx(math.log10(rank["sunflower"] + 1)) and guess_cost("sunflower99", words) < 6
+    assert guess_cost("strawberry", words) < guess_cost("strawberry") == 5
+
+
+def test_long_values_count_whole():
+    value = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(80))
+    assert guess_cost(value) > 0.7 * len(value)
+    began = time.perf_counter()
+    assert guess_cost(value + "!") > guess_cost(value[:-64])
+    assert time.perf_counter() - began < 5
+
+
 def test_method_adds_spans():
     text = TEXTS[7]
     found = [text[a:b] for a, b, k in spans(text) if k == "guess"]
@@ -58,12 +134,17 @@ def test_scan_and_redact(spark, odd_docs):
     assert digest(scan(docs.limit(0))).count() == 0 and redact(docs.limit(0)).count() == 0
 
 
-LONG = "".join(hashlib.sha256(bytes([i])).hexdigest().upper()[:31] + "!" for i in range(10))[:-1]
+LONG = "".join(hashlib.sha256(bytes([i % 256, i // 256])).hexdigest().upper()[:31] + "!" for i in range(160))[:-1]
 
 
 @pytest.mark.parametrize("text", ["see pwd={} end", 'private_key="{}" end', "pwd: '{}' end", "Authorization: Bearer {} end", "authorization:Basic {} end", "passphrase      =\t     {} end"])
-@pytest.mark.parametrize("value", [LONG, LONG[:40]])
-def test_whole_values(text, value):
-    start = text.index("{}")
+@pytest.mark.parametrize("size", [40, 129, 400, 5000])
+def test_whole_values(text, size):
+    start, value = text.index("{}"), LONG[:size].rstrip("!")
     found = [(a, b) for a, b, k in spans(text.format(value)) if k == "guess"]
     assert found == [(start, start + len(value))]
+
+
+def test_long_values_are_redacted_whole(spark):
+    docs = spark.createDataFrame([(i, f'a pwd="{LONG[:n]}" b passphrase={LONG[:n]} c', None) for i, n in enumerate((129, 399, 4999))], "doc_id long, text string, n_chars long")
+    assert {(r.text, r.n_chars) for r in redact(docs).collect()} == {('a pwd="[SECRET]" b passphrase=[SECRET] c', None)}
