@@ -55,6 +55,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the documented hold-out rule."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
