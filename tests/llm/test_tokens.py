@@ -61,7 +61,7 @@ def test_files(spark, odd_docs):
 @pytest.mark.parametrize("parts", [1, 3])
 def test_pack(spark, odd_docs, parts):
     path = tokenizer("word_bpe_49k.json")
-    docs = odd_docs.dropDuplicates(["doc_id"]).repartition(parts)
+    docs = odd_docs.dropDuplicates(["doc_id"]).repartition(parts)  # those of one id: below
     rows = docs.collect()
     want = {r.doc_id: x for r, x in zip(rows, library(path, [r.text for r in rows], 2), strict=True)}
     got = pack(docs, path, with_ids=True).collect()
@@ -78,13 +78,55 @@ def test_pack(spark, odd_docs, parts):
     assert pack(docs.limit(0), path).count() == 0
 
 
-def test_classes_hold_their_count():
-    packer = Packer()
-    for i in range(12):
-        packer.add(i, np.zeros(1300, np.uint32))
-    assert all(len({p[0] for p in s}) == 3 for s in [g[1] for g in packer.gaps])
-    packer.add(99, np.zeros(100, np.uint32))
-    assert sum(g[0] for g in packer.gaps) == 4 * (CAPACITY - 3900) - 100
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_ids_stay_apart(spark, parts):
+    """Rows of one id, or of none, with texts of one length are documents of their own."""
+    rows = [(None if i % 3 else 7, text) for i in range(400) for text in ("a b c d", None, "")]
+    path = tokenizer("word_bpe_49k.json")
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), path).collect()
+    assert sum(p.length for p in got) == sum(len(x) for x in library(path, [t for _, t in rows], 2))
+    assert sum(p.start == 0 for p in got) == len(rows) and all(p.start + p.length <= p.doc_tokens for p in got)
+
+
+def whole(packer, lengths):
+    """Each id of each document in one piece, sequences full or of a power of two; the share of documents in bins of their class."""
+    seen = [np.zeros(n, int) for n in lengths]
+    binned = 0
+    for sequence in packer.done:
+        size = sum(len(p.ids) for p in sequence)
+        assert size == packer.capacity or (size < packer.capacity and size & (size - 1) == 0)
+        for p in sequence:
+            seen[p.doc][p.start : p.start + len(p.ids)] += 1
+            assert p.total == lengths[p.doc] and (p.ids == np.arange(p.start, p.start + len(p.ids))).all()
+        for k in {p.bin_class for p in sequence if p.bin_class}:
+            own = [p for p in sequence if p.bin_class == k]
+            binned += sum(p.start + len(p.ids) == p.total for p in own)
+            assert len(own) == k and all(packer.capacity / (k + 1) < len(p.ids) <= packer.capacity / k for p in own)
+    assert all((x == 1).all() for x in seen)
+    return binned / max(1, len(lengths))
+
+
+@pytest.mark.parametrize("capacity,classes", [(4096, 32), (64, 5), (16, 16)])
+def test_bins_hold_the_count_of_their_class(capacity, classes):
+    rng = np.random.default_rng(capacity)
+    for draw in (lambda n: rng.integers(1, 3 * capacity, n), lambda n: np.full(n, capacity // 2 + 1), lambda n: rng.geometric(6 / capacity, n), lambda n: np.full(n, capacity // 8 - 1), lambda n: np.ones(n, int)):
+        lengths = draw(int(rng.integers(0, 700)))
+        packer = Packer(capacity, classes)
+        for i, n in enumerate(lengths.tolist()):
+            packer.add(i, np.arange(n, dtype=np.uint32))
+            assert len(packer.gaps) <= max(1, 8 * capacity / 64 + 1)
+        packer.finish()
+        whole(packer, lengths)
+
+
+def test_most_documents_lie_in_bins():
+    lengths = np.clip(np.random.default_rng(2).lognormal(5.9, 0.9, 20_000), 1, 20_000).astype(int)
+    packer, most = Packer(), 0
+    for i, n in enumerate(lengths.tolist()):
+        packer.add(i, np.arange(n, dtype=np.uint32))
+        most = max(most, len(packer.gaps))
+    packer.finish()
+    assert whole(packer, lengths) > 0.8 and most < 512
 
 
 ODD = [
