@@ -15,15 +15,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.common import slices, small_batches, text_of
 
 WINDOW = 128
 HIDDEN = 10
-#: At most so many documents, and so many windows of them, are fitted on the driver.
+#: At most so many documents (LEAST of each language, if these are more), and so many windows of them, are fitted on the driver.
 FIT_DOCS = 1600
+LEAST = 20
 FIT_WINDOWS = 6000
 FIT_EACH = 32
 FIT_BYTES = 64
@@ -48,8 +49,8 @@ class Network:
             weights |= {d + "x": draw(256, 3 * hidden), d + "g": draw(hidden, 2 * hidden), d + "c": draw(hidden, hidden), d + "o": draw(hidden, len(languages))}
         return cls(languages, weights | {"bias": np.zeros(len(languages), np.float32)})
 
-    def direction(self, data: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States T x B x H over T x B bytes; with keep also what backpropagation needs."""
+    def direction(self, data: np.ndarray, d: str, keep: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States T x B x H over T x B bytes, zero outside of `inside`; with keep also what backpropagation needs."""
         x, g, c = (self.weights[d + k] for k in "xgc")
         size = c.shape[0]
         steps, width = data.shape
@@ -70,22 +71,24 @@ class Network:
             new = h - n
             new *= u
             new += n
+            if inside is not None:
+                new *= inside[t][:, None]
             if keep:
                 tape.append((t, h, u, r, n))
             states[t] = h = new
         return states, tape
 
-    def logits(self, data: np.ndarray) -> np.ndarray:
+    def logits(self, data: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
         """T x B x languages: the label scores of every position."""
         out = self.direction(data, "f")[0] @ self.weights["fo"]
-        out += self.direction(data, "b")[0] @ self.weights["bo"]
+        out += self.direction(data, "b", inside=inside)[0] @ self.weights["bo"]
         out += self.weights["bias"]
         return out
 
     def gradients(self, data: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over the positions of mask (T x B), and its gradients."""
         grads = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        both = {d: self.direction(data, d, keep=True) for d in "fb"}
+        both = {d: self.direction(data, d, keep=True, inside=mask) for d in "fb"}
         z = sum(both[d][0] @ self.weights[d + "o"] for d in "fb") + self.weights["bias"]
         z = z - z.max(2, keepdims=True)
         p = np.exp(z)
@@ -104,7 +107,7 @@ class Network:
             dh_next = np.zeros(states.shape[1:], np.float32)
             da_all = np.empty((*data.shape, 3 * size), np.float32)
             for t, h, u, r, n in reversed(tape):
-                dh = dz[t] @ o.T + dh_next
+                dh = (dz[t] @ o.T + dh_next) * mask[t][:, None]
                 dn = dh * (1 - u) * (1 - n * n)
                 du = dh * (h - n) * 0.25 * ((u > 0) & (u < 1))
                 drh = dn @ c.T
@@ -181,12 +184,18 @@ def _nth(label: np.ndarray) -> list[int]:
 
 
 def sample(docs: DataFrame, limit: int = FIT_DOCS, each: int = FIT_EACH) -> tuple[list[bytes], list[str]]:
-    """Windows of at most `limit` documents with a language and text, chosen by a hash of the id.
+    """Windows of documents with a language and text, as many of each language, chosen by a hash of the id.
 
-    A document gives at most `each` windows, evenly spaced over its whole text.
+    At most `limit` documents, or LEAST of each language if these are more, so that rare languages are learned
+    too. A document gives at most `each` windows, evenly spaced over its whole text. Repeated rows may be chosen
+    more than once; ties of the hash go to the smaller id.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    languages = known.select("lang").distinct().count()
+    own = max(LEAST, limit // max(1, languages))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # only the first of each task are sent
+    ids = known.select("doc_id", "lang", nth.alias("nth")).where(F.col("nth") <= own).select("doc_id", "lang").distinct()
+    most = max(1, languages) * own * each
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -197,12 +206,14 @@ def sample(docs: DataFrame, limit: int = FIT_DOCS, each: int = FIT_EACH) -> tupl
                 parts = [data[i * FIT_BYTES : (i + 1) * FIT_BYTES] for i in at]
                 yield pa.RecordBatch.from_pydict({"data": pa.array(parts, pa.binary()), "lang": pa.array([lang] * len(parts), pa.string())})
 
-    rows = small_batches(known).join(F.broadcast(ids), "doc_id").mapInArrow(cut, "data binary, lang string").limit(limit * each).collect()
+    rows = small_batches(known).join(F.broadcast(ids), ["doc_id", "lang"]).mapInArrow(cut, "data binary, lang string").limit(most).collect()
     rows = sorted((bytes(r.data), r.lang) for r in rows)
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
 def train(docs: DataFrame, limit: int = FIT_DOCS) -> Network:
+    """A network of all languages of docs (doc_id, lang, text). Rows without an id, a language or text teach nothing;
+    without any row the network knows `und` alone. The fit does not depend on the order of rows."""
     return fit(*sample(docs, limit))
 
 
@@ -216,11 +227,12 @@ def pooled(net: Network, texts: pa.Array) -> np.ndarray:
     for at in range(0, len(rows), SIDE_BY_SIDE):
         part = order[at : at + SIDE_BY_SIDE]
         longest = int(filled[part].max())
-        z = net.logits(np.ascontiguousarray(rows[part, :longest].T))
+        inside = np.arange(longest)[:, None] < filled[part] if filled[part].min() < longest else None
+        z = net.logits(np.ascontiguousarray(rows[part, :longest].T), inside)
         z -= z.max(2, keepdims=True)
         z -= np.log(np.exp(z).sum(2, keepdims=True))
-        if filled[part].min() < longest:
-            z *= (np.arange(longest)[:, None] < filled[part])[:, :, None]
+        if inside is not None:
+            z *= inside[:, :, None]
         np.add.at(total, text[part], z.sum(0))
     mean = total / np.maximum(np.diff(bounds), 1)[:, None]
     p = np.exp(mean - mean.max(1, keepdims=True))

@@ -55,3 +55,40 @@ def test_odd_rows(spark, odd_docs):
     none = predict(docs, train(docs.limit(0)))
     assert {r.lang_pred for r in none.collect()} == {"und"}
     assert predict(docs.limit(0), net).count() == 0 and predict(odd_docs, train(odd_docs)).count() == 9
+
+
+def test_every_position_equals_plain_recurrence():
+    """Both directions byte by byte, and the mean log probability of all positions, written out."""
+    rng = np.random.default_rng(4)
+    net = Network.new(["a", "b", "c"], 5)
+    names = ["", "x", "été", "abc " * 80, "日本語のテキスト", "z" * langid.WINDOW, "y" * (langid.WINDOW + 1)] + ["".join(rng.choice(list("abcé \n"), 40)) for _ in range(5)]
+    got = pooled(net, pa.array(names, pa.large_string()))
+
+    def states(data, d):
+        x, g, c = (net.weights[d + k].astype(float) for k in "xgc")
+        h, out = [0.0] * 5, []
+        for byte in data:
+            gate = [min(1, max(0, 0.25 * (sum(h[i] * g[i][j] for i in range(5)) + x[byte][j]) + 0.5)) for j in range(10)]
+            new = [np.tanh(sum(gate[5 + i] * h[i] * c[i][j] for i in range(5)) + x[byte][10 + j]) for j in range(5)]
+            h = [gate[j] * h[j] + (1 - gate[j]) * new[j] for j in range(5)]
+            out.append(h)
+        return out
+
+    for text, p in zip(names, got, strict=True):
+        data, total = text.encode(), np.zeros(3)
+        for at in range(0, len(data), langid.WINDOW):
+            part = data[at : at + langid.WINDOW]
+            for f, b in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True):
+                z = np.array(f) @ net.weights["fo"] + np.array(b) @ net.weights["bo"] + net.weights["bias"]
+                total += z - np.log(np.exp(z).sum())
+        q = np.exp(total / max(1, len(data)))
+        assert np.allclose(p, q / q.sum(), atol=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    a, labels = texts(300, 5)
+    rows = list(enumerate(zip(a, labels, strict=True))) + [(1000 + i, ("zulu " * 8, "zz")) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in rows], "doc_id long, text string, lang string")
+    assert set(langid.sample(docs, limit=30)[1]) == {"x", "y", "zz"}
+    parts, names = langid.sample(docs, limit=300, each=1)
+    assert names.count("x") == names.count("y") == 100 and names.count("zz") == 3 and len(parts) == len(names)
