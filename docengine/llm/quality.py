@@ -154,7 +154,10 @@ def apply_rules(docs: DataFrame, model: Trees, keep_from: float = KEEP_FROM) ->
 
 
 def keep_good(docs: DataFrame, model: Trees, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents that the rules keep, all columns unchanged."""
+    """The documents that the rules keep, all columns unchanged.
+
+    Null, empty and short texts fail the base rules and go; repeated rows stay or go together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,6 +167,8 @@ def keep_good(docs: DataFrame, model: Trees, keep_from: float = KEEP_FROM) -> Da
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Trees:
+    """Trees of the labelled documents. Null ids and labels teach nothing, repeated labels of an id count once;
+    without labels every score is 0.5. Of splits with the same gain the first feature's first cut is taken."""
     return fit_trees(*feature_rows(docs, labels, limit))
 
 
@@ -272,6 +277,8 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0
 
 
 def train_additive(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Additive:
+    """Lookup tables of the labelled documents. Null ids and labels teach nothing, repeated labels of an id count
+    once; without labels every score is 0.5. Of cuts with the same gain the first is taken."""
     return fit_additive(*feature_rows(docs, labels, limit))
 
 
@@ -279,7 +286,10 @@ SCORED = "doc_id long, score double"
 
 
 def score_quality(docs: DataFrame, model: Additive) -> DataFrame:
-    """doc_id and the probability of good quality of each document, empty texts too."""
+    """doc_id and the probability of good quality of each document; null and empty texts have the score of no words.
+
+    Repeated rows give a row each, equal texts equal scores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

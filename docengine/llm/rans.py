@@ -204,7 +204,11 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """One row per document from token files: its place, its number of ids and their checksum."""
+    """One row per document from token files: its place, its number of ids and their checksum.
+
+    Blocks that do not match their checksums are an error. Documents without an id, with empty text or with the
+    id of another are rows like any other; no files give no rows.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -51,6 +51,51 @@ def test_additive_learns_pairs():
     assert {1, 6} <= {j for a, b, _ in model.pairs[:2] for j in (a, b)}
 
 
+def test_scores_equal_plain_lookups():
+    x, y = data(600)
+    additive, trees = quality.fit_additive(x, y, rounds=8, pair_rounds=4), quality.fit_trees(x, y, rounds=8)
+    rows = np.concatenate([x[:50], np.zeros((1, x.shape[1])), np.full((1, x.shape[1]), 2.0), [[c[0] if len(c) else 0 for c in additive.cuts]]])
+
+    def plain_additive(row):
+        total = additive.start
+        for cuts, table, value in zip(additive.cuts, additive.single, row, strict=True):
+            total += table[sum(c < value for c in cuts)]
+        for a, b, table in additive.pairs:
+            total += table[sum(c < row[a] for c in additive.pair_cuts[a])][sum(c < row[b] for c in additive.pair_cuts[b])]
+        return total
+
+    def plain_tree(row):
+        total = trees.start
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return total
+
+    assert np.allclose(additive.raw(rows), [plain_additive(r) for r in rows]) and np.allclose(trees.raw(rows), [plain_tree(r) for r in rows])
+
+
+def test_first_cut_equals_brute_force():
+    """The first shallow tree of a feature is the best of all pairs of levels of cuts, tried one by one."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(2, 9))
+        g, h = rng.normal(size=n), rng.random(n) + 0.1
+
+        def gain(a, b):
+            return g[a:b].sum() ** 2 / (h[a:b].sum() + 1.0)
+
+        at = max(range(1, n), key=lambda k: gain(0, k) + gain(k, n))
+        want = np.zeros(n)
+        for a, b in ((0, at), (at, n)):
+            cut = max(range(a + 1, b), key=lambda k: gain(a, k) + gain(k, b), default=None)
+            parts = [(a, b)] if cut is None or gain(a, cut) + gain(cut, b) <= gain(a, b) else [(a, cut), (cut, b)]
+            for i, j in parts:
+                want[i:j] = -g[i:j].sum() / (h[i:j].sum() + 1.0)
+        assert np.allclose(quality._shallow(g, h, 1.0), want)
+
+
 @pytest.mark.parametrize("fit", [quality.fit_trees, quality.fit_additive])
 def test_no_labels(fit):
     model = fit(np.zeros((0, len(FEATURES))), np.zeros(0))
