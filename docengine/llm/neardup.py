@@ -8,9 +8,11 @@ SIMILARITY. Classes are the connected components of verified pairs; documents wi
 node from the start.
 
 Candidates are stars first: in each bucket every node is compared with one of its nodes, another in each
-bucket, which already joins most classes. In buckets that still hold several classes all pairs of nodes of
-different classes that agree in AGREE sketches are then verified. Larger buckets are cut into blocks, and
-every block is compared with every other one.
+bucket, which already joins most classes. Buckets that still hold several classes are then searched whole,
+each in one task that has the nodes' k-mers: how many of them any two nodes share is counted exactly, and pairs
+of different classes that share enough are aligned until they are in one class. So a link is lost only where
+two nodes meet in no bucket, and only links that join classes leave a task, never pairs. Larger buckets are
+cut into blocks, and every block is compared with every other one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import slices, small_batches, split_words, text_of, written
+from docengine.llm.common import fresh, slices, small_batches, split_words, text_of, written
 from docengine.llm.components import components
 
 WORDS = 5
@@ -35,12 +37,11 @@ SIMILARITY = 0.8
 #: Two documents of similarity 0.8 miss all sketches with a probability of about (1 - 0.8 ** KEPT) ** SKETCHES = 5e-8.
 SKETCHES = 32
 KEPT = 4
-#: Nodes of different classes in one bucket are compared if they agree in AGREE sketches.
-AGREE = 3
-#: Buckets with more rows are cut into blocks of about so many.
-INSIDE = 500
-#: Pairs are verified so many at a time; those whose ends are in one class by then need no look.
-PAIRS = 1_000_000
+#: Buckets with more rows or more k-mers are cut into blocks of about so many.
+INSIDE = 2000
+INSIDE_KMERS = 4_000_000
+#: Columns of k-mers that are counted at a time.
+COLUMNS = 4096
 #: A side of a join is broadcast up to so many rows of a few dozen bytes, and shuffled beyond.
 BROADCAST_ROWS = 400_000
 
@@ -182,7 +183,7 @@ def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose alignment reaches SIMILARITY."""
+    """The written pairs (u, v) whose alignment reaches SIMILARITY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +193,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     a = bodies.select(F.col("node").alias("u"), F.col("kmers").alias("a"))
     b = bodies.select(F.col("node").alias("v"), F.col("kmers").alias("b"))
-    return written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "verified")
+    return written(_side(pairs).join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "verified")
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -200,87 +201,135 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _classes_of(edges: DataFrame) -> DataFrame:
-    return _side(written(components(edges), "labels"))
+def _labels(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    found = labels.select(F.col("node").alias(column), F.col("label").alias(f"{column}_label"))
+    return rows.join(found, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
 
 
-def _labels(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        found = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-        rows = rows.join(found, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    return rows
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) after the edges (u, v) between nodes join classes: the graph of classes is all that is searched anew."""
+    between = _labels(_labels(edges, labels, "u"), labels, "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    new = components(between, BROADCAST_ROWS)
+    moved = new.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    old = labels.join(_side(moved), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return _side(written(old.unionAll(new).distinct(), "labels"))
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, last, node, ...) of buckets with several classes, with the class and the bucket's size."""
-    named = _labels(rows, labels, "node").withColumnRenamed("node_label", "label")
-    several = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key", "size")
+    """The rows (key, node, n_kmers, ...) of buckets with several classes, with the class and the bucket's rows and k-mers.
+
+    Of buckets with the same nodes one is enough.
+    """
+    named = _labels(rows.select("key", "node", "n_kmers"), labels, "node").withColumnRenamed("node_label", "label")
+    several = named.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum("n_kmers").alias("kmers"), F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("node")).alias("nodes")
+    )
+    several = several.where("a < b").groupBy("size", "kmers", "nodes").agg(F.min("key").alias("key")).select("key", "size", "kmers")
     return written(named.join(_side(written(several, "several")), "key"), "mixed")
 
 
-def _agreeing(left: tuple, right: tuple, last: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of nodes (node, label, n_kmers, keys) of different classes that agree in AGREE sketches and may
-    be similar by their lengths. A pair counts in the bucket of the first sketch it agrees in alone."""
-    agree = np.zeros((len(left[0]), len(right[0])), np.int32)
-    for k in range(SKETCHES):
-        if k == last:
-            first = agree == 0
-        agree += left[3][:, k, None] == right[3][None, :, k]
-    a, b = left[2][:, None], right[2][None, :]
-    good = first & (agree >= AGREE) & (left[1][:, None] != right[1][None, :]) & (np.minimum(a, b) >= SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
-    return np.nonzero(np.triu(good, 1) if same else good)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of left shares with each of right; the values of one are distinct."""
+    sides = [left, right] if right is not left else [left]
+    values = np.concatenate([x for side in sides for x in side])
+    row = np.repeat(np.arange(sum(map(len, sides))), [len(x) for side in sides for x in side])
+    order = np.argsort(values, kind="stable")
+    first = np.concatenate([[True], np.diff(values[order]) != 0])[: len(values)]
+    code, row = np.cumsum(first) - 1, row[order]
+    twice = np.bincount(code)[code] > 1  # what one row alone has is shared with none
+    code, row = np.unique(code[twice], return_inverse=True)[1], row[twice]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [low, low + COLUMNS])
+        cells = np.zeros((sum(map(len, sides)), int(code[b - 1]) - low + 1), np.float32)
+        cells[row[a:b], code[a:b] - low] = 1
+        out += cells[: len(left)] @ cells[-len(right) :].T
+    return out
+
+
+def _links(key: np.ndarray, label: np.ndarray, bodies: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes (key) that join all classes of one bucket, or of two sides of it (1 and 2), that have a link."""
+    left, right = (np.flatnonzero(side == k) for k in ((0, 0) if side[0] == 0 else (1, 2)))
+    if not len(left) or not len(right):
+        return
+    size = np.array([len(b) for b in bodies])
+    of_left = [bodies[i] for i in left]
+    shared = overlaps(of_left, of_left if side[0] == 0 else [bodies[j] for j in right])
+    enough = shared >= SIMILARITY / (1 + SIMILARITY) * (size[left][:, None] + size[right][None, :]) - 1e-3
+    enough &= label[left][:, None] != label[right][None, :]
+    i, j = np.nonzero(np.triu(enough, 1) if side[0] == 0 else enough)
+    order = np.argsort(-(shared[i, j] / (size[left[i]] + size[right[j]])), kind="stable")
+    i, j = left[i[order]], right[j[order]]
+    root = {x: x for x in label.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b, p, q in zip(i.tolist(), j.tolist(), label[i].tolist(), label[j].tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q and similar(bodies[a], bodies[b]):
+            root[max(p, q)] = min(p, q)
+            yield int(key[a]), int(key[b])
 
 
 def _blocks(large: DataFrame) -> DataFrame:
     """The rows of large buckets, once for each pair of blocks to compare (key) and with their side of it.
 
-    A class of more than INSIDE rows has its own blocks, which need not be compared with one another.
+    A class that is large itself has its own blocks, which need not be compared with one another.
     """
-    sizes = written(large.groupBy("key", "label").agg(F.count("*").alias("own")), "sizes")
-    n_own, n_all = (F.ceil(F.col(c) / INSIDE) for c in ("own", "size"))
-    big = F.col("own") > INSIDE
+    sizes = written(large.groupBy("key", "label").agg(F.count("*").alias("own"), F.sum("n_kmers").alias("own_kmers")), "sizes")
+    n_own, n_all = (F.greatest(F.ceil(F.col(n) / INSIDE), F.ceil(F.col(k) / INSIDE_KMERS)) for n, k in (("own", "own_kmers"), ("size", "kmers")))
+    big = n_own > 1
     block = F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("node"), n_own))).otherwise(F.pmod(F.xxhash64("label"), n_all))
-    rows = written(large.join(_side(sizes), ["key", "label"]).withColumn("block", block).withColumn("of", F.when(big, F.col("label"))).drop("own"), "blocks")
+    rows = written(large.join(_side(sizes), ["key", "label"]).withColumn("block", block).withColumn("of", F.when(big, F.col("label"))).drop("own", "own_kmers"), "blocks")
     each = written(rows.select("key", "block", "of").distinct(), "each")
     other = each.select("key", F.col("block").alias("b"), F.col("of").alias("b_of"))
     pairs = each.join(other, "key").where("block <= b and not coalesce(of = b_of, false)").select("key", F.col("block").alias("a"), "b", F.xxhash64("key", "block", "b").alias("pair"))
     sides = pairs.select("key", F.col("a").alias("block"), "pair", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))
     sides = sides.unionAll(pairs.where("a != b").select("key", F.col("b").alias("block"), "pair", F.lit(2).alias("side")))
-    return rows.join(written(sides, "sides"), ["key", "block"]).drop("key").withColumnRenamed("pair", "key")
+    return rows.join(_side(written(sides, "sides")), ["key", "block"]).drop("key").withColumnRenamed("pair", "key")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """All pairs (u, v) of nodes of different classes in one bucket that agree in AGREE sketches."""
+def _searched(mixed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The written links (u, v) that join all classes that are linked within a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last bucket of a batch may go on in the next
+        held: list[pa.RecordBatch] = []  # the last bucket of a batch may go on in the next
+        last = None
         for batch in itertools.chain(batches, [None]):
-            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                key = batch.column("key").to_numpy()
+                if key[0] == key[-1] == last:
+                    held.append(batch)
+                    continue
+                held.append(batch)
+                last = key[-1]
+            if not held:
                 continue
-            key, side, last, *columns = (table.column(c).to_numpy() for c in ("key", "side", "last", "node", "label", "n_kmers"))
-            columns.append(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES))
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            done = len(cuts) - 1 if batch is None else len(cuts) - 2
-            held = None if batch is None else table.slice(int(cuts[done]))
-            for a, b in zip(cuts[:done].tolist(), cuts[1 : done + 1].tolist(), strict=True):
-                same = side[a] == 0
-                left, right = (tuple(c[a:b][side[a:b] == k] for c in columns) for k in ((0, 0) if same else (1, 2)))
-                i, j = _agreeing(left, right, int(last[a]), same)
-                u, v = left[0][i], right[0][j]
-                yield pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    chosen = ("key", "side", "last", "node", "label", "n_kmers", "keys")
-    small = rows.where(F.col("size") <= INSIDE).withColumn("side", F.lit(0)).select(*chosen)
-    large = rows.where(F.col("size") > INSIDE)
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            done = len(key) if batch is None else int(np.searchsorted(key, last))
+            held = [] if batch is None else table.slice(done).to_batches()
+            found = []
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:done] != key[: done - 1]) + 1, [done]]) if done else [0]
+            for a, b in itertools.pairwise(cuts):
+                part = table.slice(int(a), int(b - a))
+                node, label, side = (part.column(c).to_numpy() for c in ("node", "label", "side"))
+                found += _links(node, label, [np.frombuffer(x, "<u4") for x in part.column("kmers").to_pylist()], side)
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate(("u", "v"))})
+
+    chosen = ("key", "side", "node", "label")
+    whole = (F.col("size") <= INSIDE) & (F.col("kmers") <= INSIDE_KMERS)
+    rows = mixed.where(whole).withColumn("side", F.lit(0)).select(*chosen)
+    large = mixed.where(~whole)
     if large.take(1):
-        small = small.unionAll(_blocks(large).select(*chosen))
-    return small.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(run, "u long, v long")
-
-
-def _first(pairs: DataFrame) -> DataFrame:
-    """A pair or two of each node."""
-    return pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionAll(pairs.groupBy("u").agg(F.max("v").alias("v"))).distinct()
+        rows = rows.unionAll(_blocks(large).select(*chosen))
+    rows = _side(written(rows, "asked")).join(bodies, "node").select(*chosen, "kmers")
+    return written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long"), "links")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,44 +339,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     members = written(sketch(docs), "sketches")
     nodes = written(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("n_kmers").alias("n_kmers"), F.first("keys").alias("keys")), "nodes")
-    rows = nodes.select("node", "n_kmers", F.posexplode("keys").alias("last", "key"))
+    rows = nodes.select("node", "doc_id", "n_kmers", F.explode("keys").alias("key"))
     # the order of nodes by node ^ key differs from bucket to bucket, and its minimum gives the node back
-    buckets = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("least"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(buckets.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "pivots")
+    least = F.min(F.struct(F.col("node").bitwiseXOR(F.col("key")).alias("mark"), F.col("n_kmers").alias("p_kmers"))).alias("least")
+    buckets = rows.groupBy("key").agg(least, F.count("*").alias("size")).where("size > 1")
+    buckets = written(buckets.select("key", F.col("least.mark").bitwiseXOR(F.col("key")).alias("pivot"), "least.p_kmers"), "pivots")
     rows = written(rows.join(_side(buckets), "key"), "buckets")
-    lengths = nodes.select(F.col("node").alias("pivot"), F.col("n_kmers").alias("p_kmers"))
-    pairs = rows.where("node != pivot").select("node", "pivot", "n_kmers").distinct().join(lengths, "pivot")
-    pairs = pairs.where(F.least("n_kmers", "p_kmers") >= SIMILARITY * F.greatest("n_kmers", "p_kmers"))
-    pairs = written(pairs.groupBy(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).agg(F.lit(1).alias("one")).select("u", "v"), "pairs")
-    bodies = _bodies(docs, written(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "candidates"))
-
-    # a pair or two of each node first; the others need no look where their ends are in one class by then
-    first = _first(pairs)
-    edges = _verified(first, bodies)
-    labels = _classes_of(edges)
-    edges, labels, _ = _more(pairs, edges, labels, bodies)
-
-    mixed = _mixed(rows.select("key", "last", "node"), labels)
+    bodies = _bodies(docs, written(rows.select("node", "doc_id").distinct(), "candidates"))
+
+    # a pair or two of each node join most classes
+    near = rows.where("node != pivot").where(F.least("n_kmers", "p_kmers") >= SIMILARITY * F.greatest("n_kmers", "p_kmers"))
+    two = near.groupBy("node").agg(F.array(F.min("pivot"), F.max("pivot")).alias("pivots")).select("node", F.explode("pivots").alias("pivot"))
+    first = written(two.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "pairs")
+    labels = _side(written(components(_verified(first, bodies), BROADCAST_ROWS), "labels"))
+    mixed = _mixed(rows, labels)
     if mixed.take(1):
-        pairs = written(_candidates(nodes.select("node", "n_kmers", "keys").join(_side(mixed), "node")), "pairs")
-        edges, labels, _ = _more(_first(pairs), edges, labels, bodies)
-        parts = -(-pairs.count() // PAIRS)
-        for part in range(parts):
-            edges, labels, _ = _more(pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == part), edges, labels, bodies)
+        labels = _joined(labels, _searched(mixed, bodies))
     named = nodes.select("node", "doc_id", "n_copies").join(labels, "node", "left")
     return members.select("doc_id", "node"), written(named.withColumn("label", F.coalesce("label", "node")), "classes")
 
 
-def _more(pairs: DataFrame, edges: DataFrame, labels: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Edges and labels after the pairs whose ends are not yet in one class are verified, and whether any was found."""
-    apart = written(_labels(pairs, labels, "u", "v").where("u_label != v_label").select("u", "v"), "pairs")
-    found = _verified(apart, bodies)
-    if not found.take(1):
-        return edges, labels, False
-    edges = edges.unionAll(found)
-    return edges, _classes_of(edges), True
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: its class, named by the class's smallest doc_id, and the class's documents.
 
@@ -353,17 +384,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     status = counted.join(best, (counted["node"] == best["node"]) & counted["doc_id"].eqNullSafe(best["doc_id"]), "left").select(counted["doc_id"].alias("d"), counted["node"].alias("m"), "count", F.coalesce("stays", F.lit(False)).alias("stays"))
     goes = written(status.where("not stays or count > 1"), "goes")
 
+    name = fresh(docs, "node")
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.append_column("__node", pa.array(labelled(text_of(batch))[2]))
+            yield batch.append_column(name, pa.array(labelled(text_of(batch))[2]))
 
-    marked = small_batches(docs).mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    marked = small_batches(docs).mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
     few = goes.count() <= BROADCAST_ROWS
     side = F.broadcast(goes) if few else goes
-    on = (marked["__node"] == side["m"]) & marked["doc_id"].cast("long").eqNullSafe(side["d"])
+    on = (marked[name] == side["m"]) & marked["doc_id"].cast("long").eqNullSafe(side["d"])
     stay = marked.join(side, on, "left_anti").select(*docs.columns)
     twice = goes.where("stays")
     if not twice.take(1):
         return stay
-    again = marked.join(F.broadcast(twice) if few else twice, (marked["__node"] == twice["m"]) & marked["doc_id"].cast("long").eqNullSafe(twice["d"]), "left_semi")
-    return stay.unionAll(again.dropDuplicates(["doc_id", "__node"]).select(*docs.columns))
+    again = marked.join(F.broadcast(twice) if few else twice, (marked[name] == twice["m"]) & marked["doc_id"].cast("long").eqNullSafe(twice["d"]), "left_semi")
+    return stay.unionAll(again.dropDuplicates(["doc_id", name]).select(*docs.columns))

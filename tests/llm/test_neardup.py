@@ -23,9 +23,10 @@ def brute_components(edges):
     return {x: find(x) for x in parent}
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)] + [(60, 61), (61, 60), (49, 48)], [(7, 7), (1, 3), (2, 3), (2, 9), (12, 9)]])
-def test_components(spark, edges):
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+def test_components(spark, edges, few):
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long"), few).collect()}
     assert got == {k: v for k, v in brute_components([e for e in edges if e[0] != e[1]]).items()}
 
 
@@ -134,8 +135,50 @@ def form_letters(seed, n=48, changed=8, places=88):
 def test_form_letters_equal_brute_force(spark, monkeypatch, inside):
     """Many texts just below the threshold hide none that reaches it, in whole buckets and in blocks of hot ones."""
     monkeypatch.setattr(neardup, "INSIDE", inside)
-    monkeypatch.setattr(neardup, "PAIRS", 100)
+    monkeypatch.setattr(neardup, "COLUMNS", 100)
     rows = form_letters(1)
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_classes(rows)
     assert 1 < len(set(want.values())) < len(rows) and got == want
+
+
+def near_misses(seed=7, families=6, n=62):
+    """Families of texts that share most of their runs, all pairs just below the threshold but one in each family."""
+    rng = np.random.default_rng(seed)
+    texts, links = [], []
+    for f in range(families):
+        template = [f"f{f}w{i}" for i in range(454)]
+        for c in range(n):
+            copy = list(template)
+            for at in rng.choice(88, 10, replace=False):
+                copy[5 * at + 7] = f"x{c}y{at}"
+            texts.append(copy)
+        a, b = len(texts) - n + 5, len(texts) - 3
+        texts[b] = [*texts[a][:-1], "end"]
+        links.append((a, b))
+    return [(i, " ".join(t)) for i, t in enumerate(texts)], links
+
+
+@pytest.mark.parametrize("inside,kmers", [(2000, 4_000_000), (20, 4_000_000), (2000, 9000)])
+def test_near_misses_hide_no_link(spark, monkeypatch, inside, kmers):
+    monkeypatch.setattr(neardup, "INSIDE", inside)
+    monkeypatch.setattr(neardup, "INSIDE_KMERS", kmers)
+    rows, links = near_misses()
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(c, i) for i, c in got.items() if c != i} == set(links)
+
+
+def test_overlaps_are_exact(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    left, right = ([rng.permutation(60)[: rng.integers(0, 50)].astype(np.uint32) for _ in range(n)] for n in (5, 8))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert neardup.overlaps(left, right).tolist() == want
+    assert (neardup.overlaps(left, left) - np.diag([len(x) for x in left]) == [[len(set(a) & set(b)) if a is not b else 0 for b in left] for a in left])[~np.eye(5, dtype=bool)].all()
+    assert neardup.overlaps([np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]).tolist() == [[0]]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "k", 1), (2, "a b c d e f", 6, "l", 2)], "doc_id long, text string, node long, Node_ string, label long")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 5, "k", 1)]
