@@ -79,29 +79,52 @@ def keyword_summary(scored: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+#: Values are placed in so many bins of about as many distinct ones; only the bins that hold a percentile are put in order.
+BINS = 100
+
+
+def nearest_ranks(counted: DataFrame, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
+    """For each group, the value at the rounded (half to even) place (n - 1) * p of each p, as p50 for 0.5.
+
+    counted: by (no nulls), value, c (how often). Bounds of the bins come from a sketch, counts are exact; what one
+    task orders is one bin's distinct values, whatever the size of a group.
+    """
+    edges = counted.groupBy(*by).agg(F.percentile_approx("value", [i / BINS for i in range(1, BINS)], F.lit(100 * BINS)).alias("edges"), F.sum("c").alias("n"))
+    binned = counted.join(edges, list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    sums = binned.groupBy(*by, "bin").agg(F.sum("c").alias("in_bin"), F.first("n").alias("n"))
+    sums = sums.withColumn("before", F.sum("in_bin").over(Window.partitionBy(*by).orderBy("bin")) - F.col("in_bin"))  # BINS rows a group
+    asked = sums.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn("place", F.rint((F.col("n") - 1) * F.col("p")) - F.col("before"))
+    asked = asked.where((F.col("place") >= 0) & (F.col("place") < F.col("in_bin"))).select(*by, "bin", "p", "place")
+    near = binned.join(asked, [*by, "bin"])
+    near = near.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "bin", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda p: F.min(F.when((F.col("p") == F.lit(float(p))) & (F.col("upto") > F.col("place")), F.col("value"))).alias(f"p{round(100 * p)}")
+    return near.groupBy(*by).agg(*(at(p) for p in ps))
+
+
 def efficiency(rows: DataFrame, values: Sequence[str], group: str | None = None, places: int = 6) -> DataFrame:
     """Count, mean, sum, and nearest-rank p50 and p95 of numeric columns; what cannot be read as a number is skipped.
 
-    The percentiles come from the counts of distinct values, so no group's values meet in one list.
+    A null group is "unknown".
     """
     by = [group] if group else []
+    named = rows.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("unknown"))) if group else rows
     stack = F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("string").try_cast("double").alias("value")) for v in values)))
-    long = rows.select(*by, stack.alias("m")).select(*by, "m.metric", "m.value").where("value is not null")
+    long = named.select(*by, stack.alias("m")).select(*by, "m.metric", "m.value").where("value is not null")
     sums = long.groupBy(*by, "metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), places).alias("mean"), F.round(F.sum("value"), places).alias("total"))
     counted = long.groupBy(*by, "metric", "value").agg(F.count("*").alias("c"))
-    running = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    placed = running.join(sums.select(*by, "metric", "n"), [*by, "metric"])
-    at = lambda p: F.min(F.when(F.col("upto") > F.rint((F.col("n") - 1) * F.lit(p)), F.col("value")))
-    ranks = placed.groupBy(*by, "metric").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
-    return sums.join(ranks, [*by, "metric"])
+    return sums.join(nearest_ranks(counted, [*by, "metric"], (0.5, 0.95)), [*by, "metric"])
+
+
+#: Price tables of more rows are joined by a shuffle.
+PRICES = 100_000
 
 
 def costs(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Rows (model, tokens_in, tokens_out, error) with a cost by the price table (model, price_in, price_out; a few rows).
+    """Rows (model, tokens_in, tokens_out, error) with a cost by the price table (model, price_in, price_out), whose rows are counted.
 
     Models without a price cost nothing, rows with an error are not counted in sums of `cost`.
     """
-    joined = rows.join(F.broadcast(prices), "model", "left")
+    joined = rows.join(F.broadcast(prices) if prices.count() <= PRICES else prices, "model", "left")
     cost = M.llm_cost(F.col("tokens_in"), F.col("tokens_out"), F.coalesce("price_in", F.lit(0.0)), F.coalesce("price_out", F.lit(0.0)))
     return joined.withColumn("cost", cost).withColumn("total_tokens", F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0)))
 

@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from docengine.functions.text import content_hash, is_null_like, is_table_text
 
 
+#: A hash with more documents than this is hot; of n documents at most n / HOT hashes are.
+HOT = 1_000_000
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, copies of documents whose text without white space occurs more than once."""
+    """doc_id, hash, copies of documents whose text without white space occurs more than once.
+
+    Hashes of more than HOT documents (the empty text, for one) are so few that they are broadcast; documents of
+    the other hashes are joined by a shuffle in which no key has more than HOT rows.
+    """
     hashed = docs.select("doc_id", content_hash(F.col("text")).alias("hash"))
     counted = hashed.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1")
-    return hashed.join(counted, "hash").select("doc_id", "hash", "copies")
+    hot = F.broadcast(counted.where(F.col("copies") > HOT))
+    rest = hashed.join(hot, "hash", "left_anti").join(counted.where(F.col("copies") <= HOT), "hash")
+    return rest.unionByName(hashed.join(hot, "hash")).select("doc_id", "hash", "copies")
 
 
 def keep_first(docs: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -39,9 +49,11 @@ def page_report(docs: DataFrame, shortest: int = 50, longest: int = 2000) -> Dat
 def rejection_reasons(items: DataFrame) -> DataFrame:
     """Items (qid, question, reference, gold_ids, groups, ord) with the reasons to reject them, empty if none.
 
-    Of items with the same qid those after the first by ord are rejected.
+    Of items with the same qid those after the first by ord are rejected; items without a valid qid are spread over
+    tasks by their ord, since nothing is compared among them.
     """
-    repeated = F.row_number().over(Window.partitionBy(F.col("qid").cast("string")).orderBy("ord")) > 1
+    own = F.when(is_null_like(F.col("qid")), F.concat(F.lit("\u0000"), F.col("ord").cast("string"))).otherwise(F.col("qid").cast("string"))
+    repeated = F.row_number().over(Window.partitionBy(own).orderBy("ord")) > 1
     no_gold = F.coalesce(F.size("gold_ids") <= 0, F.lit(True)) | F.coalesce(F.exists("gold_ids", is_null_like), F.lit(True))
     groups_ok = F.coalesce((F.size("groups") > 0) & F.forall("groups", lambda g: F.exists(g, lambda k: ~is_null_like(k))), F.lit(False))
     reasons = F.array(

@@ -63,6 +63,18 @@ def test_efficiency(spark):
     assert (r.n, r["mean"], r.total, r.p50, r.p95) == (4, 2.5, 10.0, 3.0, 4.0)
 
 
+def test_nearest_ranks_equal_sorting(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 997)) for v in rng.choice(rng.normal(size=max(1, n // 3)), n)]
+    rows += [(None, 7.0)] * 500
+    df = spark.createDataFrame(rows, "kind string, v double")
+    for bins in (100, 3):
+        monkeypatch.setattr(evaluation, "BINS", bins)
+        for r in evaluation.efficiency(df, ["v"], "kind").collect():
+            own = sorted(v for k, v in rows if (k or "unknown") == r.kind)
+            assert r.n == len(own) and (r.p50, r.p95) == (own[round((len(own) - 1) * 0.5)], own[round((len(own) - 1) * 0.95)])
+
+
 def test_quotas():
     assert list(quality.quotas(20, "abc").values()) == [5, 7, 8] and list(quality.quotas(30, "abc").values()) == [8, 11, 11] and list(quality.quotas(10, "abc").values()) == [4, 3, 3]
 
@@ -80,9 +92,11 @@ def test_fingerprint_changes(spark):
     assert make(rows) == make(rows[::-1]) != make([(1, "b"), (2, "a"), (3, None)]) and make(rows) != make([(1, "a"), (2, "b"), (3, "")])
 
 
-def test_duplicates_and_first(spark):
+def test_duplicates_and_first(spark, monkeypatch):
     docs = spark.createDataFrame([(3, "a b"), (1, "a  b"), (2, "c"), (4, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.copies) for r in quality.duplicates(docs).collect()} == {(1, 2), (3, 2)}
+    for hot in (1, 10):
+        monkeypatch.setattr(quality, "HOT", hot)
+        assert {(r.doc_id, r.copies) for r in quality.duplicates(docs).collect()} == {(1, 2), (3, 2)}
     assert {r.doc_id for r in quality.keep_first(docs).collect()} == {1, 2, 4}
 
 
