@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docengine.functions import metrics as M
 from docengine.functions import money, text as X
 from docengine.operators import chunking, evaluation, headings, joins, quality, search
-from docengine.plans import corpus, prompts, rag
+from docengine.plans import chunk_sql, corpus, prompts, rag
 from docengine.sources import readers
 from docengine.streaming import events as stream
 
@@ -190,12 +190,15 @@ def contents_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.contents_chunks(outlined(spark, sf_dir), 800, 100)
 
 
-@query()
+_DOCS = "SELECT doc_id AS key, text FROM documents WHERE text IS NOT NULL"
+
+
+@query(chunk_sql.numbered(chunk_sql.packed_lines(_DOCS, 2000, 300)))
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "lines")
 
 
-@query()
+@query(chunk_sql.numbered(chunk_sql.packed_paragraphs(_DOCS, 1000, 100)))
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "paragraphs", longest=1000, overlap=100)
 
@@ -210,7 +213,7 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.markdown_chunks(outlined(spark, sf_dir))
 
 
-@query()
+@query(chunk_sql.clause_rows(f"SELECT doc_id AS key, text FROM ({_OUTLINED})"))
 def clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.clause_rows(outlined(spark, sf_dir))
 
@@ -221,7 +224,7 @@ def cited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.cited_chunks(rows)
 
 
-@query()
+@query(chunk_sql.page_chunks("SELECT conv_id AS key, turn AS page, text FROM conversations", 800, 100, 200))
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
     return chunking.page_chunks(pages, longest=800, overlap=100, shortest=200)
@@ -523,7 +526,11 @@ def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies(spark, sf_dir).select("conv_id", "turn", F.round(M.bleu(F.col("question"), F.col("answer")), 6).alias("bleu"))
 
 
-@query()
+_LATIN = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_ROUGE = f"SELECT conv_id, a.turn AS turn, {_LATIN.format('a.text')} AS x, {_LATIN.format('b.text')} AS y FROM conversations a JOIN conversations b USING (conv_id) WHERE b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'"
+
+
+@query(f"SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 2.0::DOUBLE * {chunk_sql.common_subsequence('x', 'y')} / (len(x) + len(y)) END, 6) AS rouge_l FROM ({_ROUGE})")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies(spark, sf_dir).select("conv_id", "turn", F.round(M.rouge_l(F.col("question"), F.col("answer")), 6).alias("rouge_l"))
 
