@@ -5,6 +5,8 @@ Each function takes SQL of a relation with the columns key and text and gives SQ
 
 from __future__ import annotations
 
+from docengine.operators.headings import CONTENTS, LEVELS, LONGEST, NOISE_TITLES
+
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
@@ -108,3 +110,55 @@ def common_subsequence(a: str, b: str) -> str:
     matches = f"list_transform({a}, lambda u: list_prepend(0, list_transform({b}, lambda v: CASE WHEN u = v THEN 1 ELSE 0 END)))"
     start = f"list_prepend(list_transform(range(len({b}) + 1), lambda z: 0), {matches})"
     return f"list_reduce({start}, lambda s, x: {row})[len({b}) + 1]"
+
+
+def level_lines(rows: str) -> str:
+    """(key, i, level, title) of the heading lines that are not noise; rows has (key, lines)."""
+    line = STRIP.format("raw")
+    level = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN {n}" for n, p in LEVELS) + " END"
+    rest = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN regexp_extract(line, '{p}', 2)" for _, p in LEVELS) + " END"
+    title = STRIP.format(_each(STRIP.format(_each(_each(STRIP.format("rest"), (r"\.{3,}", " ")), (r"[\s.\-·…]*\d{1,4}\s*$", ""))), (r"\s+", " ")))
+    lines = f"SELECT key, i, {line} AS line FROM (SELECT key, unnest(lines) AS raw, unnest(range(len(lines))) AS i FROM ({rows}))"
+    found = f"SELECT key, i, line, level, {title} AS title FROM (SELECT *, {level} AS level, {rest} AS rest FROM ({lines}) WHERE line <> '' AND length(line) <= {LONGEST}) WHERE level IS NOT NULL"
+    noise = ", ".join(f"'{t}'" for t in NOISE_TITLES)
+    return f"SELECT key, i, level, title FROM ({found}) WHERE title <> '' AND title NOT IN ({noise}) AND length(title) <= 100 AND NOT regexp_matches(line, '{CONTENTS}')"
+
+
+def outline_chunks(docs: str, longest: int, overlap: int, shortest: int, target: int = 2) -> str:
+    """doc_id, section_idx, split_idx, title, level, path, start_line, end_line, text; docs has (key, text).
+
+    Lines of `longest` characters or more are cut in strides, not at sentence ends.
+    """
+    split = f"SELECT key, text, string_split({_each('text', (chr(92) + 'r' + chr(92) + 'n?', chr(10)))}, chr(10)) AS lines FROM ({docs}) WHERE length(text) > 0"
+    return f"""WITH split AS ({split}), heads AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS n FROM ({level_lines("SELECT * FROM split")})),
+  wanted AS (SELECT h.key, h.n, h.i, h.level, h.title, coalesce((SELECT min(o.i) FROM heads o WHERE o.key = h.key AND o.n > h.n AND o.level <= h.level), len(s.lines)) AS ends, s.lines,
+    array_to_string((SELECT list(a.title ORDER BY a.n) FROM heads a WHERE a.key = h.key AND a.n <= h.n AND NOT EXISTS (SELECT 1 FROM heads b WHERE b.key = h.key AND b.n > a.n AND b.n <= h.n AND b.level <= a.level)), ' > ') AS path
+    FROM heads h JOIN split s ON s.key = h.key WHERE h.level <= {target}),
+  sections AS (SELECT {{'k': key, 'n': n}} AS key, {STRIP.format("array_to_string(lines[i + 1:ends], chr(10))")} AS text FROM wanted),
+  parts AS (SELECT key.k AS key, key.n AS n, unnest(range(len(pieces))) AS part, unnest(pieces) AS text FROM ({packed_lines(f"SELECT * FROM sections WHERE length(text) >= {shortest}", longest, overlap)})),
+  kept AS (SELECT p.key, p.n, p.part, {STRIP.format("p.text")} AS text, w.title, w.level, w.path, w.i, w.ends FROM parts p JOIN wanted w ON w.key = p.key AND w.n = p.n WHERE length({STRIP.format("p.text")}) >= {shortest}),
+  deepest AS (SELECT key, max(level) AS level FROM kept GROUP BY key),
+  rest AS (SELECT key, text, len(lines) AS ends FROM split WHERE key NOT IN (SELECT key FROM deepest)),
+  whole AS (SELECT key, unnest(range(len(pieces))) AS part, unnest(pieces) AS text FROM ({packed_lines("SELECT key, text FROM rest", longest, overlap)}))
+  SELECT k.key AS doc_id, CAST(n AS INT) AS section_idx, CAST(part AS INT) AS split_idx, title, CAST(k.level AS INT) AS level, path, CAST(i AS INT) AS start_line, CAST(ends AS INT) AS end_line, text FROM kept k JOIN deepest d ON d.key = k.key AND d.level = k.level
+  UNION ALL SELECT w.key, -1, CAST(part AS INT), '', 0, '', 0, CAST(ends AS INT), w.text FROM whole w JOIN rest r ON r.key = w.key WHERE length(w.text) >= {shortest}"""
+
+
+#: Lines that begin a section of a table of contents: roman numerals or chapters, else numbers.
+_CHAPTER = r"(?m)^\s*(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|\b[IVXLCDM]+\b|제\s*\d+\s*장)"
+_BY_CHAPTER = r"(?m)(^\s*(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+\.?|\b[IVXLCDM]+\b\.?|제\s*\d+\s*장)\s+[^\n]{1,60}$)"
+_BY_NUMBER = r"(?m)(^\s*\d+\.?\s+[^\n]{2,60}$)"
+
+
+def contents_chunks(docs: str, longest: int, overlap: int, shortest: int = 100) -> str:
+    """doc_id, chunk_idx, text: sections of the contents lines, the whole text without them, cut at sentence ends by a recursion."""
+    cut = f"CASE WHEN regexp_matches(text, '{_CHAPTER}') THEN regexp_replace(text, '{_BY_CHAPTER}', chr(1) || '\\1', 'g') ELSE regexp_replace(text, '{_BY_NUMBER}', chr(1) || '\\1', 'g') END"
+    found = f"list_filter(list_transform(string_split({cut}, chr(1))[2:], lambda w: {STRIP.format('w')}), lambda w: length(w) > 100)"
+    last = "greatest(" + ", ".join(f"CASE WHEN contains(p, {c}) THEN length(p) - strpos(reverse(p), {c}) ELSE -1 END" for c in ("chr(10)", "'.'", "'함'")) + ")"
+    kept = f"CASE WHEN place + {longest} < length(t) AND {last} > {int(longest * 0.6)} THEN place + {last} + 1 ELSE place + {longest} END"
+    piece = f"SELECT key, nth, i, t, place, {kept} AS ends FROM (SELECT *, {STRIP.format(f'substr(t, place + 1, {longest})')} AS p FROM {{}})"
+    return f"""WITH RECURSIVE sections AS (SELECT key, unnest(range(len(s))) AS nth, unnest(s) AS t FROM (SELECT key, CASE WHEN len(string_split({cut}, chr(1))) > 2 AND len({found}) > 0 THEN {found} ELSE [{STRIP.format('text')}] END AS s FROM ({docs}) WHERE text IS NOT NULL)),
+  cuts AS ({piece.format("(SELECT key, nth, 0 AS i, t, 0 AS place FROM sections)")}
+    UNION ALL {piece.format(f"(SELECT key, nth, i + 1 AS i, t, CASE WHEN ends - {overlap} > place THEN ends - {overlap} ELSE ends END AS place FROM cuts WHERE ends < length(t))")}),
+  pieces AS (SELECT key, nth, i, CASE WHEN length(t) > {longest} THEN {STRIP.format("substr(t, place + 1, ends - place)")} ELSE t END AS text FROM cuts)
+  SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY nth, i) - 1 AS INT) AS chunk_idx, text FROM pieces WHERE length({STRIP.format("text")}) >= {shortest}"""

@@ -175,17 +175,18 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_chunks(outlined(spark, sf_dir))
 
 
-@query()
+@query(chunk_sql.outline_chunks(f"SELECT doc_id AS key, text FROM ({_OUTLINED})", 600, 100, 30))
 def outline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.outline_chunks(outlined(spark, sf_dir), longest=600, overlap=100)
+    return chunking.outline_chunks(outlined(spark, sf_dir), longest=600, overlap=100).withColumn("path", F.array_join("path", " > "))
 
 
-@query()
+# no line of the conversations has 3,000 characters, so none is cut at a sentence end; test_chunking does that
+@query(chunk_sql.outline_chunks(f"SELECT doc_id AS key, text FROM ({_OUTLINED})", 3000, 300, 100))
 def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(outlined(spark, sf_dir), "hybrid")
+    return chunking.chunk(outlined(spark, sf_dir), "hybrid").withColumn("path", F.array_join("path", " > "))
 
 
-@query()
+@query(chunk_sql.contents_chunks(f"SELECT doc_id AS key, text FROM ({_OUTLINED})", 800, 100))
 def contents_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.contents_chunks(outlined(spark, sf_dir), 800, 100)
 
