@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 SKETCHES = 32
 KEPT = 4
 #: Buckets with more rows or more k-mers are cut into blocks of about so many.
-INSIDE = 2000
+INSIDE = 1000
 INSIDE_KMERS = 4_000_000
 #: Columns of k-mers that are counted at a time.
 COLUMNS = 4096
