@@ -1,7 +1,6 @@
 """Readers: tables of metadata, chunks and questions, and documents in office formats.
 
-Office files are read as binary rows by Spark and parsed on the workers with the standard library; PDF
-needs a library that may be absent, whose rows then carry an error.
+Office files and PDF are read as binary rows by Spark and parsed on the workers with the standard library.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.sources import pdf
+
 METADATA = "doc_id string, project_name string, organization string, file_name string, file_type string, budget string, deadline string, summary string, text string"
 
 
@@ -236,13 +237,14 @@ def hwpx_pages(data: bytes) -> list[tuple[int, str]]:
     return out
 
 
-def pdf_pages(data: bytes) -> list[tuple[int, str]]:
+def pdf_pages(data: bytes, ordered: bool = False) -> list[tuple[int, str]]:
+    """Pages by the optional library pymupdf where it is installed, which knows more fonts, else by the engine's own reader."""
     try:
         import fitz
-    except ImportError as e:
-        raise ValueError("reading PDF needs the optional library pymupdf") from e
+    except ImportError:
+        return pdf.pages(data, ordered)
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return [(i, page.get_text("text")) for i, page in enumerate(doc, 1)]
+        return [(i, page.get_text("text", sort=ordered)) for i, page in enumerate(doc, 1)]
 
 
 BREAKS = ("p", "div", "li", "h1", "h2", "h3")  # fixed values: tags that end a line
