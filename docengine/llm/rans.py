@@ -34,6 +34,8 @@ FILE_IDS = 1 << 22
 CHECKPOINT = 128
 #: Bytes of text that are encoded at a time.
 SLICE = 4 << 20
+#: Characters of a text that order rows of one id.
+HEAD_CHARS = 32
 HEAD = struct.Struct("<4s6I")
 BLOCK = struct.Struct("<6I")
 
@@ -166,6 +168,16 @@ def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, Table, list[by
     return doc_ids, lengths, Table(pair[: len(pair) // 2], pair[len(pair) // 2 :]), blocks
 
 
+def ids_between(data: bytes, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, ids) of each block's part of a file's ids [first, last)."""
+    _, _, table, blocks = open_file(data)
+    for k, block in enumerate(blocks):
+        begin, size = k * BLOCK_IDS, BLOCK.unpack_from(block)[0]
+        a, b = max(first - begin, 0), min(last - begin, size)
+        if a < b:
+            yield begin + a, decode_block(block, table, a, b)
+
+
 FILES = "shard int, file int, first long, n_ids long, data binary"
 READ = "doc_id long, shard int, in_shard long, n_tokens long, ids_crc32 long"
 
@@ -173,8 +185,9 @@ READ = "doc_id long, shard int, in_shard long, n_tokens long, ids_crc32 long"
 def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """The documents (doc_id, text) in ascending id order as token files, one row each, in the shared folder.
 
-    The rows go through Spark's own writer, so a lost executor's files are written again. Equal ids are
-    ordered by text; null ids come first; null text counts as empty.
+    The rows go through Spark's own writer, so a lost executor's files are written again. Null ids come first;
+    rows of one id are ordered by the first characters of their texts, then by a hash, and may lie in several
+    shards; null text counts as empty.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +212,8 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.substring("text", 1, HEAD_CHARS), F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return written(small_batches(rows).mapInArrow(encode, FILES), "tokens", compression="uncompressed")
 
 
@@ -222,7 +236,30 @@ def read_files(files: DataFrame) -> DataFrame:
                     "n_tokens": lengths, "ids_crc32": pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
                 })
 
-    # a shard per task of the writer: as many rows as partitions, so its running sum and broadcast are small
-    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     rows = small_batches(files).select("shard", "first", "data").mapInArrow(decode, READ)
-    return rows.join(F.broadcast(shards), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(_starts(files)), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _starts(files: DataFrame) -> DataFrame:
+    """(shard, before): ids of all shards before. A shard per task of the writer, so the running sum and a broadcast are small."""
+    return files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+
+
+RANGE = "start long, ids array<int>"
+
+
+def read_range(files: DataFrame, first: int, last: int) -> DataFrame:
+    """(start, ids): the ids at places [first, last) of all files, in rows of at most one block each.
+
+    Only files that hold some of them are opened, of these only the blocks that do, and of a block only what
+    follows the checkpoint before the range. Checksums cover a block's bytes; its ids are checked where all are read.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for start, ids in ids_between(row["data"], first - row["begin"], last - row["begin"]):
+                    yield pa.RecordBatch.from_pydict({"start": [row["begin"] + start], "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
+
+    placed = small_batches(files).join(F.broadcast(_starts(files)), "shard").withColumn("begin", F.col("before") + F.col("first"))
+    return placed.where((F.col("begin") < last) & (F.col("begin") + F.col("n_ids") > first)).select("begin", "data").mapInArrow(decode, RANGE)

@@ -58,6 +58,31 @@ def test_files(spark, odd_docs):
     assert rans.read_files(rans.write_files(odd_docs.limit(0), path)).count() == 0
 
 
+def test_ranges_begin_at_checkpoints(spark, monkeypatch):
+    """Any range of places gives the ids that whole files have there, over blocks and files."""
+    monkeypatch.setattr(rans, "FILE_IDS", 500)
+    monkeypatch.setattr(rans, "SLICE", 1000)
+    path = tokenizer("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(30)], "doc_id long, text string").repartition(3)
+    ids = [x for t in library(path, [f"text {i} " * 40 for i in range(30)], 0) for x in t]
+    files = rans.write_files(docs, path)
+    assert files.count() > 3
+    for a, b in ((0, len(ids)), (0, 1), (700, 2200), (len(ids) - 1, len(ids) + 9), (5, 5)):
+        rows = sorted(rans.read_range(files, a, b).collect(), key=lambda r: r.start)
+        assert [x for r in rows for x in r.ids] == ids[a:b] and (not rows or rows[0].start == a)
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, f"{i % 50} word") for i in range(400)], "doc_id long, text string").repartition(4)
+    with_parts = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in with_parts.items():
+        spark.conf.set(k, v)
+    files = rans.write_files(docs, tokenizer("byte_bpe_50k.json"))
+    for k in with_parts:
+        spark.conf.unset(k)
+    assert files.select("shard").distinct().count() > 1 and rans.read_files(files).count() == 400
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_pack(spark, odd_docs, parts):
     path = tokenizer("word_bpe_49k.json")
