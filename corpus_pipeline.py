@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality rules, near-duplicates, benchmark leaks, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the shared
-folder and read again as the next stage's documents. All but the last return the columns of documents.
+folder and read again as the next stage's documents. All but the last return the columns of documents,
+others that docs has included. Empty tables pass through; null text counts as empty.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ from docengine.llm.secrets import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a base rule or the trees reject go."""
+    """Documents that a base rule or the trees reject go: null, empty and short texts among them. Repeated rows stay or go together."""
     return keep_good(docs, train_rules(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays, that with the smallest id; ids come before nulls, of repeated rows one stays."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; null texts and items hold none."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret span is replaced by a mark; n_chars follows. No document goes."""
+    """Every secret span is replaced by a mark; n_chars follows, null stays null. No document goes."""
     return redact(docs, tokenizer("word_bpe_49k.json"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4,096 tokens."""
+    """The pieces of all documents in sequences of 4,096 tokens; an empty text is its end token alone, repeated rows are apart."""
     return pack(docs, tokenizer("word_bpe_49k.json"), remember=False)
 
 
