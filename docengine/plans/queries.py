@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,31 +9,14 @@ from docengine.functions import metrics as M
 from docengine.functions import money, text as X
 from docengine.operators import chunking, evaluation, headings, joins, quality, search
 from docengine.plans import chunk_sql, corpus, prompts, rag
+from docengine.plans.registry import query, table
 from docengine.sources import readers
 from docengine.streaming import events as stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 MODELS = [("gpt-5-mini", 0.15, 0.60), ("gpt-5-nano", 0.075, 0.30)]  # fixed values: prices for a million tokens
 KS = (1, 3, 5, 10)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- cleaning
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"

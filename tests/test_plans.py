@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.plans import corpus, prompts, queries, rag
+from docengine.plans import corpus, prompts, queries, rag, registry, source_queries  # noqa: F401
 from docengine.streaming import events
 
 DATA = "/root/testdata/sf0.001"
@@ -87,19 +87,19 @@ class TestTables:
             assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
             rows.limit(100).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
-    @pytest.mark.parametrize("name", sorted(queries.QUERIES))
+    @pytest.mark.parametrize("name", sorted(registry.QUERIES))
     def test_query_runs(self, spark, name):
-        df = queries.QUERIES[name](spark, DATA)
+        df = registry.QUERIES[name](spark, DATA)
         rows = df.collect()
         assert len(set(df.columns)) == len(df.columns)
-        if name not in queries.SQL:
+        if name not in registry.SQL:
             assert rows
             return
         duckdb = pytest.importorskip("duckdb")
         db = duckdb.connect()
         for f in glob.glob(f"{DATA}/*.parquet"):
             db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-        found = db.execute(queries.SQL[name])
+        found = db.execute(registry.SQL[name])
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(df.columns)
 
@@ -115,4 +115,4 @@ class TestTables:
         import __spark_entry__ as entry
 
         assert entry.entry(spark).count() > 0
-        assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+        assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
