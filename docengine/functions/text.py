@@ -56,6 +56,7 @@ def remove_toc_dots(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
+    # fixed values: the patterns of this clean-up
     return strip(_sub(c, ("\\t", " "), (" {2,}", " "), ("[ \\t]*\\n[ \\t]*", "\n"), ("\\n{3,}", "\n\n")))
 
 
@@ -102,6 +103,7 @@ def normalize_for_chunking(c: Column, zero_width: bool = False) -> Column:
 
 
 def normalize_page(c: Column) -> Column:
+    # fixed values: the patterns of this clean-up
     c = F.coalesce(c, F.lit(""))
     c = strip(_sub(c, ("\\r\\n?", "\n"), ("[ \\t]+\\n", "\n"), ("\\n{3,}", "\n\n")))
     return F.when(F.lower(c) == "nan", "").otherwise(c)
@@ -109,12 +111,14 @@ def normalize_page(c: Column) -> Column:
 
 def prepare_for_toc(c: Column) -> Column:
     """Keeps Hangul, Latin letters, digits, some punctuation, roman numerals and circled numbers."""
+    # fixed values: the patterns of this clean-up
     c = _sub(F.coalesce(c, F.lit("")), (ZERO_WIDTH, ""), ("(?U)[^가-힣a-zA-Z0-9\\s.,?!()\\[\\]%\\-\\u2160-\\u217F①-⑮·]", " "))
     return strip(_sub(c, (" {3,}", " "), ("\\n{3,}", "\n"), ("\\t", " "), (" {2,}", " ")))
 
 
 def minimal_clean(c: Column) -> Column:
     """Control characters, odd blanks and ornaments go; lines stay and are trimmed."""
+    # fixed values: the patterns of this clean-up
     c = _sub(F.coalesce(c, F.lit("")), (CONTROL, ""), ("\\u00a0", " "), (WIDE_SPACES, " "), (ORNAMENTS, " "), (" {2,}", " "))
     lines = F.transform(F.split(c, "\n"), strip)
     return strip(_sub(F.array_join(lines, "\n"), ("\\n{3,}", "\n\n")))
@@ -122,6 +126,7 @@ def minimal_clean(c: Column) -> Column:
 
 def single_line_clean(c: Column) -> Column:
     """One line of Hangul, Latin letters, digits and a few signs."""
+    # fixed values: the patterns of this clean-up
     c = _sub(strip(F.coalesce(c, F.lit(""))), (CONTROL, ""), ("\\u00a0", " "), ("\\n", " "), ("(?U)[^a-zA-Z0-9가-힣ㄱ-ㅎㅏ-ㅣ\\s%\\-,.\\[\\]():;]", " "))
     return strip(_sub(c, ("(?U)\\s+", " ")))
 
@@ -142,6 +147,7 @@ def _html_table_lines(c: Column) -> Column:
 
 def guarded_clean(c: Column) -> Column:
     """Page numbers, running titles, ornaments; HTML tables to lines; spacing of clause numbers."""
+    # fixed values: the patterns of this clean-up
     c = F.coalesce(c, F.lit(""))
     c = _sub(
         c, ("(?mU)^\\s*-\\s*\\d+\\s*-\\s*$", ""), ("(?imU)^\\s*\\[?\\s*Page\\s*\\d+\\s*\\]?\\s*$", ""), ("(?mU)^\\s*\\d+\\s*/\\s*\\d+\\s*$", ""),
@@ -153,6 +159,7 @@ def guarded_clean(c: Column) -> Column:
 
 def strip_reasoning(c: Column) -> Column:
     """Without <think> blocks and an English preface before the first list item or Hangul line."""
+    # fixed values: the patterns of this clean-up
     c = strip(_sub(F.coalesce(c, F.lit("")), ("(?is)<think>.*?</think>", ""), ("(?i)</?think>", "")))
     until = "(?=\\n\\s*(?:[-•○●]|\\d+[.)]|[가-힣]))"
     for opening in ("Okay,", "Let'?s", "I need to", "The user is asking", "We need to"):

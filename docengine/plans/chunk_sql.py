@@ -19,7 +19,7 @@ def _each(x: str, *pairs: tuple[str, str]) -> str:
 
 def tidy(text: str, blanks: bool) -> str:
     """Line ends made one, blanks before them gone, at most one empty line; with blanks also runs of blanks to one."""
-    plain = f"replace({_each(text, (chr(92) + 'r' + chr(92) + 'n?', chr(10)))}, '　', ' ')"
+    plain = f"replace({_each(text, ('\\r\\n?', '\n'))}, '　', ' ')"
     about = ((r"[ \t]+", " "), (r"[ \t]*\n[ \t]*", "\n")) if blanks else ((r"[ \t]+\n", "\n"),)
     return STRIP.format(_each(plain, *about, (r"\n{3,}", "\n\n")))
 
@@ -130,7 +130,7 @@ def outline_chunks(docs: str, longest: int, overlap: int, shortest: int, target:
 
     Lines of `longest` characters or more are cut in strides, not at sentence ends.
     """
-    split = f"SELECT key, text, string_split({_each('text', (chr(92) + 'r' + chr(92) + 'n?', chr(10)))}, chr(10)) AS lines FROM ({docs}) WHERE length(text) > 0"
+    split = f"SELECT key, text, string_split({_each('text', ('\\r\\n?', '\n'))}, chr(10)) AS lines FROM ({docs}) WHERE length(text) > 0"
     return f"""WITH split AS ({split}), heads AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS n FROM ({level_lines("SELECT * FROM split")})),
   wanted AS (SELECT h.key, h.n, h.i, h.level, h.title, coalesce((SELECT min(o.i) FROM heads o WHERE o.key = h.key AND o.n > h.n AND o.level <= h.level), len(s.lines)) AS ends, s.lines,
     array_to_string((SELECT list(a.title ORDER BY a.n) FROM heads a WHERE a.key = h.key AND a.n <= h.n AND NOT EXISTS (SELECT 1 FROM heads b WHERE b.key = h.key AND b.n > a.n AND b.n <= h.n AND b.level <= a.level)), ' > ') AS path

@@ -52,15 +52,15 @@ def eval_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm).alias("digest"), F.length(norm).alias("n"))
 
 
-_LINES = f"array_to_string(list_transform(string_split({_re('text', (CONTROL, ''), (chr(92) + 'x{a0}', ' '), ('[' + chr(92) + 'x{2000}-' + chr(92) + 'x{200A}' + chr(92) + 'x{202F}' + chr(92) + 'x{205F}' + chr(92) + 'x{3000}]', ' '), ('[★■◆▲▼◀▶●♣♠♦♥➔➢➣❑❒❖❘❙❚]', ' '), (' {2,}', ' '))}, chr(10)), lambda x: {STRIP.format('x')}), chr(10))"
+_LINES = f"array_to_string(list_transform(string_split({_re('text', (CONTROL, ''), ('\\x{a0}', ' '), ('[\\x{2000}-' + '\\x{200A}\\x{202F}' + '\\x{205F}\\x{3000}]', ' '), ('[★■◆▲▼◀▶●♣♠♦♥➔➢➣❑❒❖❘❙❚]', ' '), (' {2,}', ' '))}, chr(10)), lambda x: {STRIP.format('x')}), chr(10))"
 
 
-@query(f"SELECT doc_id, {STRIP.format(_re(_LINES, (chr(92) + 'n{3,}', chr(10) * 2)))} AS clean_text FROM documents")
+@query(f"SELECT doc_id, {STRIP.format(_re(_LINES, ('\\n{3,}', '\n\n')))} AS clean_text FROM documents")
 def minimal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.minimal_clean(F.col("text")).alias("clean_text"))
 
 
-@query(f"SELECT doc_id, {STRIP.format(_re('text', (CONTROL, ''), (chr(92) + 'n', ' '), ('[^a-zA-Z0-9가-힣ㄱ-ㅎㅏ-ㅣ' + chr(92) + 's%' + chr(92) + '-,.' + chr(92) + '[' + chr(92) + ']():;]', ' '), (chr(92) + 's+', ' ')))} AS clean_text FROM documents")
+@query(f"SELECT doc_id, {STRIP.format(_re('text', (CONTROL, ''), ('\\n', ' '), ('[^a-zA-Z0-9가-힣ㄱ-ㅎㅏ-ㅣ\\s%' + '\\-,.\\[' + '\\]():;]', ' '), ('\\s+', ' ')))} AS clean_text FROM documents")
 def single_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.single_line_clean(F.col("text")).alias("clean_text"))
 
@@ -429,7 +429,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = "regexp_replace(regexp_replace(lower({}), '\\s+', '', 'g'), '[,\\-–—−‐‒·ㆍ･・/\\\\:：;；~～|(){{}}\\[\\]〈〉<>「」『』《》\"''“”‘’`]', '', 'g')"
 _KEYWORDS = f"""SELECT qid, CAST(a + b AS INT) AS n_matched, (a + b) / 2 AS keyword_recall FROM (SELECT qid, CASE WHEN w1 <> '' AND contains(t, w1) THEN 1 ELSE 0 END AS a, CASE WHEN (w2 <> '' AND contains(t, w2)) OR (w3 <> '' AND contains(t, w3)) THEN 1 ELSE 0 END AS b
-  FROM (SELECT item_id AS qid, {_NORM.format("d.text")} AS t, {", ".join(f"{_NORM.format(f"regexp_split_to_array(b.text, '{chr(92)}s+')[{i}]")} AS w{i}" for i in (1, 2, 3))} FROM benchmark b JOIN documents d ON d.doc_id = b.item_id))"""
+  FROM (SELECT item_id AS qid, {_NORM.format("d.text")} AS t, {", ".join(f"{_NORM.format(f"regexp_split_to_array(b.text, '\\s+')[{i}]")} AS w{i}" for i in (1, 2, 3))} FROM benchmark b JOIN documents d ON d.doc_id = b.item_id))"""
 
 
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,7 +452,7 @@ def keyword_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIMPLE = "regexp_replace(lower({}), '[,\\s]+', '', 'g')"
-_GROUPED = f"SELECT item_id AS qid, {', '.join(_SIMPLE.format(f'regexp_split_to_array(b.text, {chr(39)}{chr(92)}s+{chr(39)})[{i}]') + f' AS w{i}' for i in (1, 2, 3))} FROM benchmark b"
+_GROUPED = f"SELECT item_id AS qid, {', '.join(_SIMPLE.format(f"regexp_split_to_array(b.text, '\\s+')[{i}]") + f' AS w{i}' for i in (1, 2, 3))} FROM benchmark b"
 _RELEVANT = "contains(t, w1) AND (contains(t, w2) OR contains(t, w3))"
 
 
