@@ -18,13 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, small_batches, text_of
+from docengine.llm.common import slices, small_batches, text_of, written
 
 WINDOW = 128
 HIDDEN = 10
 #: At most so many documents (LEAST of each language, if these are more), and so many windows of them, are fitted on the driver.
 FIT_DOCS = 1600
 LEAST = 20
+#: Times as many documents as are wanted of a language are put in order; that fewer than wanted are among them does not happen.
+SPARE = 4
+#: Counts of more languages than this are joined by a shuffle.
+MOST = 100_000
 FIT_WINDOWS = 6000
 FIT_EACH = 32
 FIT_BYTES = 64
@@ -191,10 +195,14 @@ def sample(docs: DataFrame, limit: int = FIT_DOCS, each: int = FIT_EACH) -> tupl
     more than once; ties of the hash go to the smaller id.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    languages = known.select("lang").distinct().count()
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    languages = counts.count()
     own = max(LEAST, limit // max(1, languages))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # only the first of each task are sent
-    ids = known.select("doc_id", "lang", nth.alias("nth")).where(F.col("nth") <= own).select("doc_id", "lang").distinct()
+    # of a large language only so many hashes are low enough to be among the first, which keeps what is put in order small
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(float(1 << 32)) * SPARE * own / F.col("rows")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id"))
+    ids = known.select("doc_id", "lang").join(F.broadcast(counts) if languages <= MOST else counts, "lang").where(low).select("doc_id", "lang", nth.alias("nth"))
+    ids = ids.where(F.col("nth") <= own).select("doc_id", "lang").distinct()
     most = max(1, languages) * own * each
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
