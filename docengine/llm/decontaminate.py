@@ -23,8 +23,9 @@ from docengine.llm.common import fresh, slices, small_batches, text_of, written
 #: Positions that each mask selects: five words of five to eight. Together they hit every overlap that
 #: counts as a leak below, wherever its differing words are (a test goes through all of them).
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
-#: An overlap is a leak if WINDOW consecutive positions (all of a shorter item or text) agree in at least SHARE.
-WINDOW = 13
+#: An overlap is a leak if so many consecutive positions (all of a shorter item or text) agree in at least SHARE: the
+#: shorter window finds parts of items, the longer one whole items in which differing words stand close together.
+WINDOWS = (13, 20)
 SHARE = 0.8
 #: Items of SHORTEST words or more can match; one of fewer than FUZZY words only as a whole and word by word.
 SHORTEST = 5
@@ -148,19 +149,21 @@ class Index:
         """Rows (text, item, first word, words compared, words equal) of the diagonals that hold a window of agreeing words."""
         size, length = np.diff(self.bounds)[item], np.diff(bounds)[text]
         first, last = np.maximum(start, bounds[text]), np.minimum(start + size, bounds[text + 1])
-        width = np.minimum(np.minimum(WINDOW, size), length)
-        some = np.flatnonzero((last - first >= width) & ((width >= FUZZY) | (width == size)))
-        text, item, start, first, width, n = text[some], item[some], start[some], first[some], width[some], (last - first)[some]
+        all_of = np.minimum(size, length)
+        least = np.minimum(WINDOWS[0], all_of)
+        some = np.flatnonzero((last - first >= least) & ((least >= FUZZY) | (least == size)))
+        text, item, start, first, all_of, n = text[some], item[some], start[some], first[some], all_of[some], (last - first)[some]
         begin = np.cumsum(n) - n
         within = np.arange(int(n.sum())) - np.repeat(begin, n)
         equal = ids[np.repeat(first, n) + within] == self.words[np.repeat(self.bounds[item] + first - start, n) + within]
-        run = np.concatenate([[0], np.cumsum(equal)])
-        place, wide = np.arange(len(equal)), np.repeat(width, n)
-        whole = within + wide <= np.repeat(n, n)  # places where a window begins
-        agree = np.zeros(len(equal), np.int64)
-        agree[whole] = run[(place + wide)[whole]] - run[place[whole]]
-        most = np.maximum.reduceat(agree, begin) if len(begin) else np.zeros(0, np.int64)
-        ok = most >= np.where(width < FUZZY, width, np.ceil(SHARE * width - 1e-9))
+        run, place, ok = np.concatenate([[0], np.cumsum(equal)]), np.arange(len(equal)), np.zeros(len(n), bool)
+        for window in WINDOWS if len(n) else ():
+            width = np.minimum(window, all_of)
+            wide = np.repeat(width, n)
+            whole = within + wide <= np.repeat(n, n)  # places where a window begins
+            agree = np.zeros(len(equal), np.int64)
+            agree[whole] = run[(place + wide)[whole]] - run[place[whole]]
+            ok |= np.maximum.reduceat(agree, begin) >= np.where(width < FUZZY, width, np.ceil(SHARE * width - 1e-9))
         return np.stack([text, item, first - bounds[text], n, run[begin + n] - run[begin]], 1)[ok]
 
 

@@ -22,20 +22,21 @@ def brute(texts, items):
     found = set()
     for (i, t), (j, s) in itertools.product(enumerate(texts), enumerate(items)):
         a, b = words(t), words(s)
-        width = min(D.WINDOW, len(b), len(a))
-        if len(b) < D.SHORTEST or (width < D.FUZZY and width < len(b)):
+        widths = [min(w, len(b), len(a)) for w in D.WINDOWS]
+        if len(b) < D.SHORTEST or (widths[0] < D.FUZZY and widths[0] < len(b)):
             continue
-        least = width if width < D.FUZZY else math.ceil(D.SHARE * width)
         for start in range(-len(b) + 1, len(a)):
             equal = [a[start + k] == b[k] if 0 <= start + k < len(a) else None for k in range(len(b))]
             equal = [e for e in equal if e is not None]
-            if any(sum(equal[k : k + width]) >= least for k in range(len(equal) - width + 1)):
-                found.add((i, j))
+            for width in widths:
+                least = width if width < D.FUZZY else math.ceil(D.SHARE * width)
+                if any(sum(equal[k : k + width]) >= least for k in range(len(equal) - width + 1)):
+                    found.add((i, j))
     return found
 
 
 def test_masks_hit_every_allowed_substitution():
-    for width in range(D.SHORTEST, D.WINDOW + 1):
+    for width in range(D.SHORTEST, D.WINDOWS[1] + 1):
         wrong = width - math.ceil(D.SHARE * width) if width >= D.FUZZY else 0
         fits = [sum(1 << (o + p) for p in m) for m in D.MASKS for o in range(width - m[-1])]
         for places in itertools.combinations(range(width), wrong):
