@@ -135,7 +135,8 @@ def _identifiers(low: Column) -> Column:
 def recognise(docs: DataFrame) -> DataFrame:
     """One row per document: its known sentences in order, how many they are, and the licences whose rules match.
 
-    Null and empty texts have none; repeated rows give a row each; the same licence is named once.
+    Null and empty texts have none; repeated rows give a row each; the same licence is named once, in the order of
+    the rules. Known sentences that begin at one place are ordered by their identifiers.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
     cue = F.lit(False)

@@ -11,6 +11,9 @@ in the table of counts, dealt out by the context one byte longer than those, so
 all that its costs depend on. The costs of the commonest strings are sent, the others are joined. The scores
 are the same either way.
 
+Words and rows are told apart by 64-bit hashes: of n of them, about n * n / 2 ** 65 pairs share one and would be
+counted together in the baseline.
+
 The baseline needs the count of every word. Words that are more than one in 2 ** HEAD_BITS of all tokens
 are at most 2 ** HEAD_BITS and are sent to the workers; the others are joined with their counts.
 """
@@ -308,7 +311,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     """Scores of all documents by the model and the baseline of those for which `training` holds.
 
     Null text counts as empty, one token (the end). A text scores the log10 probability of its lower-cased
-    bytes and its end. Repeated rows give a row each.
+    bytes and its end. Repeated rows give a row each, equal texts equal scores; rows without an id are scored
+    too. Without training rows every byte costs the same.
     """
     spark = docs.sparkSession
     counts = corpus_counts(docs.where(training))

@@ -92,3 +92,10 @@ def test_rare_languages_are_learned(spark):
     assert set(langid.sample(docs, limit=30)[1]) == {"x", "y", "zz"}
     parts, names = langid.sample(docs, limit=300, each=1)
     assert names.count("x") == names.count("y") == 100 and names.count("zz") == 3 and len(parts) == len(names)
+
+
+def test_ties_go_to_the_first_language(spark):
+    net = Network.new(["a", "b"], 3)
+    net.weights = {k: np.zeros_like(v) for k, v in net.weights.items()}
+    rows = predict(spark.createDataFrame([(1, "text"), (1, "text")], "doc_id long, text string"), net).collect()
+    assert [(r.lang_pred, r.score) for r in rows] == [("a", 0.5)] * 2
