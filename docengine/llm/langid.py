@@ -258,9 +258,11 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = text_of(batch)
-            p = pooled(net, texts)
-            letters = pc.match_substring_regex(texts, "\\pL").to_numpy(zero_copy_only=False) & (len(net.languages) > 0)
+            coded = text_of(batch).dictionary_encode()  # copies of a text are read once
+            each = coded.dictionary.cast(pa.large_string())
+            place = coded.indices.to_numpy()
+            p = pooled(net, each)[place]
+            letters = pc.match_substring_regex(each, "\\pL").to_numpy(zero_copy_only=False)[place] & (len(net.languages) > 0)
             best = p.argmax(1)
             names = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": np.where(letters, p.max(1), 0.0)})
