@@ -197,6 +197,15 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.search(rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "embedding"), 5).select("qid", "doc_id", "rank", "label")
 
 
+@query("SELECT s_suppkey AS doc_id, s_name || chr(10) || chr(10) || s_nationkey AS text FROM supplier WHERE s_suppkey % 5 > 0")
+def text_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each supplier whose text is known."""
+    k, path = F.col("s_suppkey"), shared_dir(spark, "texts")
+    text = F.when(k % 5 > 0, F.concat_ws("\n\n", "s_name", F.col("s_nationkey").cast("string")))
+    writers.write_texts(table(spark, sf_dir, "supplier").select(k.alias("doc_id"), text.alias("text")), path)
+    return writers.read_texts(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def _zipped(name: str, body: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

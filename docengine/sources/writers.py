@@ -30,6 +30,16 @@ def append_sheet(df: DataFrame, path: str) -> None:
     write_csv(df, path, "append")
 
 
+def write_texts(docs: DataFrame, path: str, column: str = "text") -> None:
+    """One folder doc_id=<id> for each document (ids are distinct) with its text and a line end as a file; none without text."""
+    docs.where(F.col(column).isNotNull()).select("doc_id", F.col(column).alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, text of what write_texts has written."""
+    return spark.read.text(path, wholetext=True).select("doc_id", F.regexp_replace("value", "\\n\\z", "").alias("text"))
+
+
 def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
     """A small JSON side-file, by Spark's committed write."""
     text = json.dumps(settings, ensure_ascii=False, sort_keys=True, default=str)
