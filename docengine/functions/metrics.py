@@ -81,14 +81,22 @@ def matched_groups(answer: Column, groups: Column) -> Column:
     return F.filter(groups, lambda g: F.exists(g, lambda k: (k != "") & F.contains(answer, k)))
 
 
+def _occurrences(words: Column) -> Column:
+    """The words in order, each with the number of the same word before it: multisets as sets."""
+    return F.transform(F.array(F.sort_array(words)), lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit("\u0000"), (i - F.array_position(s, x)).cast("string"))))[0]
+
+
 def token_f1(gold: Column, answer: Column) -> Column:
     """Multiset F1 of white-space tokens; with an empty side 1 only if the texts are equal."""
-    a, b = words(gold), words(answer)
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    common = F.aggregate(F.transform(F.array_distinct(F.array_intersect(a, b)), lambda x: F.least(count(a, x), count(b, x))), F.lit(0), lambda s, n: s + n)
-    p, r = common / F.size(b), common / F.size(a)
     same = (F.coalesce(gold, F.lit("")) == F.coalesce(answer, F.lit(""))).cast("double")
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), same).when(common == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    def score(x: Column) -> Column:
+        common = F.size(F.array_intersect(_occurrences(x["a"]), _occurrences(x["b"])))
+        p, r = common / F.size(x["b"]), common / F.size(x["a"])
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), x["same"]).when(common == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    # a list of one, so that the words are split once and not wherever they are named
+    return F.transform(F.array(F.struct(words(gold).alias("a"), words(answer).alias("b"), same.alias("same"))), score)[0]
 
 
 def bleu_score(gold: str | None, answer: str | None, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25)) -> float:

@@ -18,6 +18,7 @@ WIDE_SPACES = "[\\u2000-\\u200A\\u202F\\u205F\\u3000]"
 ORNAMENTS = "[★■◆▲▼◀▶●♣♠♦♥➔➢➣❑❒❖❘❙❚]"
 EVAL_DROPPED = "[,\\-–—−‐‒·ㆍ･・/\\\\:：;；~～|(){}\\[\\]〈〉<>「」『』《》\"'“”‘’`]"
 FILE_NAME_SYMBOLS = (("－", "-"), ("–", "-"), ("—", "-"), ("＿", "_"), ("（", "("), ("）", ")"), ("㈜", "(주)"))
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NULL_LIKE = ("", "nan", "none", "null", "na", "n/a")
 
 
@@ -43,8 +44,8 @@ def _sub(c: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends, Unicode white space included."""
-    return _sub(c, ("(?U)^\\s+|\\s+$", ""))
+    """Without white space at both ends, Unicode white space included. Only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def remove_control(c: Column) -> Column:
@@ -74,7 +75,13 @@ def clean_text(c: Column, unicode: bool = True) -> Column:
     """Cleaning of extracted text; null gives the empty string. Without unicode, for text known to be in form KC."""
     c = F.coalesce(c, F.lit(""))
     c = nfkc(c) if unicode else c
-    return normalize_whitespace(remove_toc_dots(remove_noise(remove_control(normalize_symbols(c)))))
+    return normalize_whitespace(remove_toc_dots(remove_noise(_normalize_characters(c))))
+
+
+def _normalize_characters(c: Column) -> Column:
+    """Symbols and control characters in one pass over the text."""
+    control = "".join(chr(i) for i in [*range(32), 127] if chr(i) not in "\t\n\r")
+    return F.translate(c, SYMBOLS_FROM + control, SYMBOLS_TO)
 
 
 def normalize_for_eval(c: Column, unicode: bool = True) -> Column:
