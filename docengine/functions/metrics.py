@@ -90,13 +90,17 @@ def token_f1(gold: Column, answer: Column) -> Column:
     """Multiset F1 of white-space tokens; with an empty side 1 only if the texts are equal."""
     same = (F.coalesce(gold, F.lit("")) == F.coalesce(answer, F.lit(""))).cast("double")
 
-    def score(x: Column) -> Column:
+    def counted(x: Column) -> Column:
         common = F.size(F.array_intersect(_occurrences(x["a"]), _occurrences(x["b"])))
-        p, r = common / F.size(x["b"]), common / F.size(x["a"])
-        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), x["same"]).when(common == 0, 0.0).otherwise(2 * p * r / (p + r))
+        return F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), common.alias("common"), x["same"].alias("same"))
+
+    def score(x: Column) -> Column:
+        p, r = x["common"] / x["b"], x["common"] / x["a"]
+        return F.when((x["a"] == 0) | (x["b"] == 0), x["same"]).when(x["common"] == 0, 0.0).otherwise(2 * p * r / (p + r))
 
-    # a list of one, so that the words are split once and not wherever they are named
-    return F.transform(F.array(F.struct(words(gold).alias("a"), words(answer).alias("b"), same.alias("same"))), score)[0]
+    # lists of one, so that the words are split and counted once and not wherever they are named
+    pair = F.array(F.struct(words(gold).alias("a"), words(answer).alias("b"), same.alias("same")))
+    return F.transform(F.transform(pair, counted), score)[0]
 
 
 def bleu_score(gold: str | None, answer: str | None, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25)) -> float:
