@@ -22,27 +22,35 @@ def match_names(wanted: DataFrame, files: DataFrame, shortest: int = 4, unicode:
 
     The last tier joins by runs of `shortest` characters, of the shorter stem the one that occurs least, not all with
     all; stems shorter than that only match in the tiers before. Ties go to the better suffix, then the smaller path.
+    Files of one key count as their best one. Joins are merged: Spark would broadcast by the size of the compressed files,
+    which tells little of names and nothing of runs.
     """
     a = wanted.select("name").distinct().withColumn("norm", normalize_file_name(F.col("name"), unicode)).withColumn("stem", _stem(F.col("norm")))
     b = files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("file")).withColumn("norm", normalize_file_name(F.col("file"), unicode)).withColumn("stem", _stem(F.col("norm")))
     b = b.withColumn("suffix", F.coalesce(F.array_position(F.array(*map(F.lit, SUFFIX_ORDER)), F.regexp_extract("norm", "\\.([^.]+)$", 1)), F.lit(0)))
     b = b.withColumn("suffix", F.when(F.col("suffix") > 0, F.col("suffix")).otherwise(99))
-    keep = ["name", "path", "suffix"]
-    exact = a.join(b, a["name"] == b["file"]).select(*keep, F.lit(1).alias("tier"))
-    norm = a.join(b, a["norm"] == b["norm"]).select(*keep, F.lit(2).alias("tier"))
-    stem = a.join(b, (a["stem"] == b["stem"]) & (a["stem"] != "")).select(*keep, F.lit(3).alias("tier"))
+    file = F.min(F.struct("suffix", "path")).alias("file")
+
+    def same(key: str, other: str, tier: int) -> DataFrame:
+        c = b.where(F.col(other) != "") if tier == 3 else b
+        c = c.groupBy(F.col(other).alias("key")).agg(file)
+        return a.join(c.hint("merge"), F.col(key) == F.col("key")).select("name", "file.*", F.lit(tier).alias("tier"))
 
     def windows(c: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - shortest + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(shortest))))
 
     def inside(short: DataFrame, long: DataFrame) -> DataFrame:
-        t = long.withColumn("gram", F.explode(windows(F.col("stem")))).withColumnRenamed("stem", "long")
+        t = long.select(F.col("stem").alias("long"), F.explode(windows(F.col("stem"))).alias("gram"))
         seen = t.groupBy("gram").agg(F.count("*").alias("n"))
-        grams = short.where(F.length("stem") >= shortest).withColumn("gram", F.explode(windows(F.col("stem")))).withColumnRenamed("stem", "short")
-        rarest = grams.join(seen, "gram", "left").groupBy(*(c for c in grams.columns if c != "gram")).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-        return rarest.join(t, "gram").where(F.contains(F.col("long"), F.col("short"))).select(*keep, F.lit(4).alias("tier"))
-
-    found = exact.unionByName(norm).unionByName(stem).unionByName(inside(a.select("name", "stem"), b.select("path", "suffix", "stem"))).unionByName(inside(b.select("path", "suffix", "stem"), a.select("name", "stem")))
+        grams = short.where(F.length("stem") >= shortest).select(F.col("stem").alias("short"), F.explode(windows(F.col("stem"))).alias("gram"))
+        rarest = grams.join(seen.hint("merge"), "gram", "left").groupBy("short").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        return rarest.join(t.hint("merge"), "gram").where(F.contains(F.col("long"), F.col("short"))).select("short", "long")
+
+    ours, theirs = a.select("stem").distinct(), b.groupBy("stem").agg(file)
+    links = inside(ours, theirs).toDF("ours", "theirs").unionByName(inside(theirs, ours).toDF("theirs", "ours"))
+    part = links.join(theirs.hint("merge"), F.col("theirs") == F.col("stem")).groupBy("ours").agg(F.min("file").alias("file"))
+    part = a.join(part.hint("merge"), F.col("stem") == F.col("ours")).select("name", "file.*", F.lit(4).alias("tier"))
+    found = same("name", "file", 1).unionByName(same("norm", "norm", 2)).unionByName(same("stem", "stem", 3)).unionByName(part)
     best = found.groupBy("name").agg(F.min(F.struct("tier", "suffix", "path")).alias("best"))
     return wanted.join(best, "name", "left").select(*wanted.columns, F.col("best.path").alias("path"), F.col("best.tier").alias("tier"))
 

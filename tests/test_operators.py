@@ -112,3 +112,12 @@ def test_names(spark):
     files = spark.createDataFrame([("/r/가나.HWP",), ("/r/가나.pdf",), ("/r/최종 문서명긴것 v2.docx",), ("/r/y.pdf",)], "path string")
     got = {r.name: (r.path, r.tier) for r in joins.match_names(wanted, files).collect()}
     assert got["가 나.hwp"] == ("/r/가나.HWP", 2) and got["문서명긴것.pdf"] == ("/r/최종 문서명긴것 v2.docx", 4) and got["x.pdf"] == (None, None)
+
+
+def test_names_of_large_tables(spark):
+    """Names and their runs are not broadcast, whatever the tables are estimated at; of many files with one name the best counts."""
+    wanted = spark.range(3000).select(F.format_string("customer%09d.pdf", "id").alias("name"))
+    files = spark.range(9000).select(F.format_string("/r%d/final customer%09d v2.docx", F.col("id") % 3, (F.col("id") / 3).cast("long")).alias("path"))
+    found = joins.match_names(wanted, files, shortest=12, unicode=False)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(f"customer{i:09}.pdf", f"/r0/final customer{i:09} v2.docx", 4) for i in range(3000)}
