@@ -11,6 +11,9 @@ in the table of counts, dealt out by the context one byte longer than those, so
 all that its costs depend on. The costs of the commonest strings are sent, the others are joined. The scores
 are the same either way.
 
+Counts meet in buckets of a key's hash. A worker sends the counts of a bucket in one row, and those of a bucket
+are summed by one worker: as rows of their own they fill the heaps of the executors.
+
 Words and rows are told apart by 64-bit hashes: of n of them, about n * n / 2 ** 65 pairs share one and would be
 counted together in the baseline.
 
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import slices, small_batches, split_words, text_of, written
+from docengine.llm.common import give_back, slices, small_batches, split_words, text_of, written
 
 ORDER = 5
 #: With more contexts and symbols than this the longer contexts stay in a table; UTF-8 in lower case has fewer of three bytes.
@@ -41,8 +44,11 @@ TABLE_BITS = 22
 NEAR_BITS = 22
 #: Counts of a worker's slices are summed before they are sent on, up to so many distinct ones.
 PENDING = 1_000_000
-#: Bytes of text at a time: each takes a hundred bytes of arrays here.
-SLICE = 3 << 20
+#: Counts are dealt out in 2 ** BUCKET_BITS buckets, and leave a worker in so many buckets at a time.
+BUCKET_BITS = 10
+SENT = 128
+#: Bytes of text at a time: each takes a hundred bytes of arrays here, which two workers hold beside an executor's heap.
+SLICE = 1 << 19
 GRAM, WORD, TEXTS = 0, 1, 2
 
 
@@ -160,7 +166,7 @@ class Model:
     def _table(self) -> None:
         """A hash table of the costs of the longest strings; the commoner of two in one slot stays."""
         keys = self.leaf[-1]
-        costs = np.concatenate([self.spelled(keys[i : i + 500_000]).astype(np.float32) for i in range(0, len(keys), 500_000)] or [np.zeros(0, np.float32)])
+        costs = np.concatenate([self.spelled(keys[i : i + 100_000]).astype(np.float32) for i in range(0, len(keys), 100_000)] or [np.zeros(0, np.float32)])
         self.slot_key, self.slot_cost = hashed(keys, costs, self.count[-1])
 
     def spelled(self, keys: np.ndarray) -> np.ndarray:
@@ -219,40 +225,92 @@ def _lowered(batch: pa.RecordBatch) -> pa.Array:
 
 
 COUNTED = "kind int, key long, n long"
+PACKED = "bucket int, kind int, keys binary, counts binary"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all 64-bit values, then the second ones, ...: the upper ones are much alike and compress well."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def packed(kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts as rows of PACKED, one for each bucket that has any."""
+    bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    keys, n, bucket = keys[order], n[order].astype(np.int64), bucket[order]
+    names, first = np.unique(bucket, return_index=True)
+    bounds = np.append(first, len(keys))
+    for i in range(0, len(names), SENT):
+        parts = [slice(*x) for x in itertools.pairwise(bounds[i : i + SENT + 1])]
+        yield pa.RecordBatch.from_pydict({
+            "bucket": names[i : i + SENT].astype(np.int32), "kind": pa.array(np.full(len(parts), kind, np.int32)),
+            "keys": pa.array([_planes(keys[x]) for x in parts], pa.binary()), "counts": pa.array([_planes(n[x]) for x in parts], pa.binary()),
+        })
+
+
+class _Held:
+    """Counts of one kind, summed whenever more than PENDING keys have come in since."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.new = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.new += len(keys)
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts, self.new = [counted(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
+        return self.parts[0]
 
 
 def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(kind, key, n): counts of byte strings, of words by hash, and of texts, over all of docs."""
+    bits = BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {GRAM: [], WORD: []}
+        held = {GRAM: _Held(), WORD: _Held()}
         texts_seen = 0
-
-        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": keys.view(np.int64), "n": n})
-
-        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            parts = held[kind]
-            return counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
         for batch in slices(batches, size=SLICE):
             texts = _lowered(batch)
             texts_seen += len(texts)
-            held[GRAM].append(counted(grams(texts, order)[0]))
+            held[GRAM].add(*counted(grams(texts, order)[0]))
             hashes, code, _ = _words(texts)
             n = np.bincount(code, minlength=len(hashes)).astype(np.int64)
-            held[WORD].append((hashes[n > 0], n[n > 0]))
-            for kind, parts in held.items():
-                if sum(len(p[0]) for p in parts) > PENDING:
-                    yield rows(kind, *merged(kind))
-                    held[kind] = []
-        for kind, parts in held.items():
-            if parts:
-                yield rows(kind, *merged(kind))
-        yield rows(TEXTS, np.zeros(1, np.uint64), np.array([texts_seen]))
-
-    sums = small_batches(docs).select("text").mapInArrow(run, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    return written(sums, "counts")
+            held[WORD].add(hashes[n > 0], n[n > 0])
+            for kind in held:
+                if held[kind].new > PENDING:
+                    keys, n = held[kind].summed()
+                    if len(keys) > PENDING // 2:
+                        yield from packed(kind, keys, n, bits)
+                        held[kind] = _Held()
+        for kind, x in held.items():
+            if x.parts:
+                yield from packed(kind, *x.summed(), bits)
+        yield from packed(TEXTS, np.zeros(1, np.uint64), np.array([texts_seen]), bits)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each bucket and kind, whose rows come one after another."""
+        at, held = None, _Held()
+        for batch in itertools.chain(batches, [None]):
+            for *name, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None, None, None)]:
+                if at not in (None, name):
+                    key, sums = held.summed()
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), at[1], np.int32)), "key": key.view(np.int64), "n": sums})
+                    held = _Held()
+                if keys is not None:
+                    at = name
+                    held.add(_from_planes(keys, np.uint64), _from_planes(n, np.int64))
+                    if held.new > PENDING:
+                        held.summed()
+        give_back()
+
+    parts = small_batches(docs).select("text").mapInArrow(run, PACKED)
+    return written(parts.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(merge, COUNTED), "counts")
 
 
 def train(counted_: DataFrame, order: int = ORDER) -> Model:

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -138,3 +139,48 @@ def test_groups_with_a_lower_model():
             part = Model(keys[group == g], counts[group == g], ppm.ORDER, low)
             asked = np.unique(np.concatenate([keys[group == g], keys[group == g] ^ np.uint64(3), keys[group == g] ^ np.uint64(1 << 40)]))
             assert np.allclose(part.spelled(asked), whole.spelled(asked), atol=1e-5)
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("pending", [1_000_000, 700])
+def test_counts_cross_the_shuffle_by_bucket(spark, monkeypatch, pending):
+    """As rows of their own the counts filled the executors' heaps."""
+    monkeypatch.setattr(ppm, "PENDING", pending)
+    monkeypatch.setattr(ppm, "BUCKET_BITS", 3, raising=False)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 400)) for _ in range(12)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(3).localCheckpoint()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    before = shuffled_rows(spark)
+    rows = ppm.corpus_counts(docs).collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = shuffled_rows(spark) - before
+    strings, n = counted(grams(pa.array([*texts, "", ""], pa.large_string()))[0])
+    words = Counter(ppm.xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split())
+    got = {kind: {np.uint64(r.key & (1 << 64) - 1): r.n for r in rows if r.kind == kind} for kind in (ppm.GRAM, ppm.WORD, ppm.TEXTS)}
+    assert len(rows) == sum(map(len, got.values())), "a key in two rows"
+    assert got == {ppm.GRAM: dict(zip(strings, n, strict=True)), ppm.WORD: words, ppm.TEXTS: {0: 14}}
+    if pending > len(strings):
+        assert 0 < moved <= 3 * (2 * 8 + 1) < len(rows)
+
+
+def test_memory_of_a_slice():
+    """Two workers hold a slice each, beside an executor's heap."""
+    rng = np.random.default_rng(3)
+    text = pa.array(["".join(rng.choice(list("etaoin shrdlu"), 5000)) for _ in range(20)] * 40, pa.large_string())
+    model = built(text.slice(0, 5).to_pylist(), ppm.ORDER)
+    model.score(np.zeros(1, np.uint64))
+    tracemalloc.start()
+    for batch in ppm.slices(iter([pa.RecordBatch.from_pydict({"text": text})]), size=ppm.SLICE):
+        key, _ = grams(ppm._lowered(batch))
+        model.score(key)
+        counted(key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
